@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,10 +44,10 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngram:
     return summed.where("v <> 0").select("id", "dim", (F.col("v") / norm).alias("w"))
 
 
-def _packed_sums(codes: pd.Series, dim: int) -> np.ndarray:
+def _packed_sums(codes: pa.ListArray, dim: int) -> np.ndarray:
     """One row of signed gram counts per text."""
-    lengths = np.fromiter((len(c) for c in codes), dtype=np.int64, count=len(codes))
-    flat = np.concatenate(codes.to_numpy()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
+    lengths = np.diff(codes.offsets.to_numpy())
+    flat = codes.flatten().to_numpy().astype(np.int64)
     slots = np.repeat(np.arange(len(codes)), lengths) * dim + flat // 2
     return np.bincount(slots, weights=1 - 2 * (flat % 2), minlength=len(codes) * dim).reshape(len(codes), dim)
 
@@ -56,32 +57,35 @@ def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngra
     texts = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id")
     coded = texts.select("id", gram_codes(F.col("text"), dim, ngram, hash_name).alias("codes"))
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = _packed_sums(batch["codes"], dim)
-            packed = sums.astype("<f4")
-            squares = (sums * sums).sum(axis=1).astype(np.int64)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "vec": [row.tobytes() for row in packed], "sq": squares})
+            sums = _packed_sums(batch.column("codes"), dim)
+            packed = pa.array([row.tobytes() for row in sums.astype("<f4")], pa.binary())
+            squares = pa.array((sums * sums).sum(axis=1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed, squares], ["id", "vec", "sq"])
 
-    return coded.mapInPandas(add_up, f"id {coded.schema['id'].dataType.simpleString()}, vec binary, sq bigint")
+    return coded.mapInArrow(add_up, f"id {coded.schema['id'].dataType.simpleString()}, vec binary, sq bigint")
 
 
 def unit_arrays(df: DataFrame, text_col: str, out: str = "embedding", dim: int = DIM, hash_name: str = "md5") -> DataFrame:
-    """`df` with the unit vector of a text column as array<double>, for estimators."""
+    """`df` with the unit vector of a text column as array<double> in the text's place, for estimators."""
+    codes = gram_codes(F.coalesce(F.col(text_col), F.lit("")), dim, hash_name=hash_name)
+    coded = df.withColumn("_codes", codes).drop(text_col)
+    kept = [c for c in coded.columns if c != "_codes"]
 
-    @F.pandas_udf("array<double>")
-    def normalised_sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for codes in batches:
-            sums = _packed_sums(codes, dim)
-            length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            yield pd.Series(list(sums / np.maximum(length, 1.0)))
+    def normalised_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = _packed_sums(batch.column("_codes"), dim)
+            units = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1.0)
+            offsets = pa.array(np.arange(0, units.size + 1, dim, dtype=np.int32))
+            arrays = pa.ListArray.from_arrays(offsets, pa.array(units.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), arrays], [*kept, out])
 
-    return df.withColumn(out, normalised_sums(gram_codes(F.coalesce(F.col(text_col), F.lit("")), dim, hash_name=hash_name)))
+    return coded.mapInArrow(normalised_sums, coded.select(*kept).schema.add(out, "array<double>"))
 
 
 def pack_arrays(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """(id, vec, sq) from ready-made float vectors, such as a model's embeddings."""
-
     plain = df.select(F.col(id_col).alias("id"), F.col(array_col).alias("v"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
