@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spelled out rather than \w and \s, whose meaning differs between regex engines.
 WORD = r"[\p{L}\p{N}_]"
-BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD_BLANKS = r"\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = " " + ODD_BLANKS
 SPACE = f"[{BLANKS}]"
 URL = f"https?://[^{BLANKS}]+|www\\.[^{BLANKS}]+"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
@@ -25,16 +28,31 @@ REGISTER_LEXICON = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` computed once however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(text: Column) -> Column:
-    """Runs of white space become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """Runs of white space become one blank, none at the ends; lone blanks, by far the most, are left alone."""
+    return F.trim(F.regexp_replace(text, f"[{ODD_BLANKS}]{SPACE}*| {SPACE}+", " "))
+
+
+def without(text: Column, pattern: str, signs: Sequence[str], keep: str = "") -> Column:
+    """`text` with `pattern` replaced; the pattern is only tried where one of its `signs` occurs."""
+
+    def replaced(t: Column) -> Column:
+        seen = reduce(operator.or_, [t.contains(sign) for sign in signs])
+        return F.when(seen, F.regexp_replace(t, pattern, keep)).otherwise(t)
+
+    return bound(text, replaced)
 
 
 def normalise(text: Column) -> Column:
     """The identity of a template: lower case, no links, handles or hashtags, single blanks."""
-    without_links = F.regexp_replace(F.lower(text), URL, "")
+    without_links = without(F.lower(text), URL, ("http", "www."))
     # A handle or hashtag takes every word character after it, so one pass removes both kinds.
-    return collapse(F.regexp_replace(without_links, f"[@#]{WORD}+", ""))
+    return collapse(without(without_links, f"[@#]{WORD}+", ("@", "#")))
 
 
 def has_link_raw(text: Column) -> Column:
@@ -89,7 +107,8 @@ def uses_lexicon(text: Column, lexicon: Sequence[str] = REGISTER_LEXICON) -> Col
 
 def spoken_text(text: Column) -> Column:
     """What a voice should read: no links, handles and hashtags as plain words."""
-    return collapse(F.regexp_replace(F.regexp_replace(text, f"(?i){URL}", ""), f"[@#]({WORD}+)", "$1"))
+    without_links = without(text, f"(?i){URL}", ("://", ".",))
+    return collapse(without(without_links, f"[@#]({WORD}+)", ("@", "#"), "$1"))
 
 
 # The three visual moods.

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spreadlens.functions.grams import DIM, NGRAM, gram_codes
@@ -81,7 +82,7 @@ def unit_arrays(df: DataFrame, text_col: str, out: str = "embedding", dim: int =
             arrays = pa.ListArray.from_arrays(offsets, pa.array(units.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), arrays], [*kept, out])
 
-    return coded.mapInArrow(normalised_sums, coded.select(*kept).schema.add(out, "array<double>"))
+    return coded.mapInArrow(normalised_sums, coded.select(*kept).schema.add(out, T.ArrayType(T.DoubleType())))
 
 
 def pack_arrays(df: DataFrame, id_col: str, array_col: str) -> DataFrame:

@@ -29,19 +29,18 @@ SHOWN = 5
 
 def keyed_posts(posts: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """The final state of each post as narrow rows: ids, times, flags, and the text's digest and length."""
-    normalised = normalise(F.coalesce("body", F.lit("")))
     narrow = posts.select(
         "id",
         "version",
         *ties,
         "author_id",
         "created_at",
-        F.md5(normalised).alias("key"),
-        F.length(normalised).alias("chars"),
+        normalise(F.coalesce("body", F.lit(""))).alias("normalised"),
         F.col("has_link").cast("int").alias("link"),
         (F.coalesce("views_count", F.lit(0)) == 0).cast("int").alias("unseen"),
     )
-    return latest(narrow, ties)
+    digested = narrow.withColumns({"key": F.md5("normalised"), "chars": F.length("normalised")}).drop("normalised")
+    return latest(digested, ties)
 
 
 def grouped(rows: DataFrame, key: str, actor: str, minimum: int) -> DataFrame:
@@ -110,7 +109,8 @@ def cluster_templates(
     posts: DataFrame, min_authors: int = MIN_AUTHORS, min_chars: int = MIN_CHARS, ties: Sequence[str] = ()
 ) -> DataFrame:
     """One row per template: text, normalised text, counts, first appearance, shares and first post ids."""
-    rows = keyed_posts(posts, ties).where(F.col("chars") >= min_chars)
+    # Narrow, and read twice below.
+    rows = stored(keyed_posts(posts, ties).where(F.col("chars") >= min_chars), "rows")
     groups = shares(grouped(rows, "key", "author_id", min_authors)).drop("links", "unseen")
     firsts = first_posts(rows.join(groups.select("key"), "key", "left_semi"))
     samples = firsts.groupBy("key").agg(

@@ -490,10 +490,18 @@ def feature_matrix(spark, d):
 # ---- forecast, learning --------------------------------------------------------------------------
 
 
-def _fitted(spark: SparkSession, d: str, holdout: bool) -> tuple[forecast.Forecaster, DataFrame]:
-    split = stored(sampling.split_by_id(views.posts(spark, d)), "split")
-    fitted = forecast.fit(split.where("not holdout").drop("holdout"), dim=DIM, rounds=ROUNDS, rounds_1h=ROUNDS)
-    return fitted, split.where("holdout").drop("holdout")
+# One fit serves the three forecast queries of a session.
+_FITS: dict[tuple[str, str], tuple[forecast.Forecaster, DataFrame]] = {}
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[forecast.Forecaster, DataFrame]:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITS:
+        split = stored(sampling.split_by_id(views.posts(spark, d)), "split")
+        train = split.where("not holdout").drop("holdout")
+        fitted = forecast.fit(train, dim=DIM, rounds=ROUNDS, rounds_1h=ROUNDS)
+        _FITS[key] = fitted, split.where("holdout").drop("holdout")
+    return _FITS[key]
 
 
 def _score_inputs(posts: DataFrame) -> DataFrame:
@@ -512,20 +520,20 @@ def _score_inputs(posts: DataFrame) -> DataFrame:
 
 @named("forecast")
 def forecast_posts(spark, d):
-    fitted, holdout = _fitted(spark, d, True)
+    fitted, holdout = _fitted(spark, d)
     return fitted.predict(_score_inputs(holdout)).select("id", "likes_1d", "likes_1h", "relative_to_median")
 
 
 @query
 def forecast_drivers(spark, d):
-    fitted, holdout = _fitted(spark, d, True)
+    fitted, holdout = _fitted(spark, d)
     found = fitted.predict(_score_inputs(holdout)).select("id", F.posexplode("drivers").alias("position", "driver"))
     return found.select("id", "position", "driver.*")
 
 
 @query
 def evaluate_forecast(spark, d):
-    fitted, holdout = _fitted(spark, d, True)
+    fitted, holdout = _fitted(spark, d)
     return fitted.evaluate(holdout)
 
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadlens.session import spread
 from spreadlens.sources.readers import scan_posts
 
 
+# Texts up to this many characters in all are sent to every executor; beyond it both sides are shuffled.
+BROADCAST_CHARS = 64_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; zone-less timestamps are read as session-zone timestamps."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -18,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _posts_from(spark: SparkSession, sf_dir: str, doc_key: str) -> DataFrame:
     """Events as posts, one to three observations each; `doc_key` picks each post's document among `n`."""
     documents = table(spark, sf_dir, "documents")
-    # A parquet row count is read from the footers.
-    n = documents.count()
-    events = table(spark, sf_dir, "events").withColumn("doc_key", F.expr(doc_key.format(n=n)))
+    size = documents.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).first()
+    # Spread the narrow events, not the texts they are about to meet.
+    events = spread(table(spark, sf_dir, "events"), "event_id").withColumn("doc_key", F.expr(doc_key.format(n=size["n"])))
+    if (size["chars"] or 0) <= BROADCAST_CHARS:
+        documents = F.broadcast(documents)
     observed = events.join(documents, F.col("doc_key") == F.col("doc_id")).withColumn(
         "s", F.explode(F.expr("sequence(0, cast(event_id % 3 as int))"))
     )
