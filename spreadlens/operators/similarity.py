@@ -156,7 +156,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOC
             F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("block"), "id", "vec", "sq"
         )
         right = items.select(
-            F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("bigint").alias("chunk"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
             F.pmod(F.xxhash64("id"), F.lit(item_blocks)).cast("int").alias("block"), "id", "vec", "sq",
         )
 

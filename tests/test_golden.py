@@ -191,4 +191,4 @@ def test_routing_with_memory(spark):
     turns = spark.createDataFrame([(0, i, m) for i, (m, _) in enumerate(said)], "conv_id bigint, turn bigint, text string")
     rows = dialogue.route_messages(turns).orderBy("turn").collect()
     assert [r.tool for r in rows] == [tool for _, tool in said]
-    assert [rows[i].index for i in (4, 6, 7)] == [3, 3, 2]
+    assert [rows[i]["index"] for i in (4, 6, 7)] == [3, 3, 2]
