@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spreadlens.functions.grams import DIM, NGRAM, gram_codes
+from spreadlens.operators.graph import components
 from spreadlens.schemas import require_columns
 from spreadlens.session import spread, stored
 
@@ -26,7 +27,6 @@ BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
 SLACK = 1e-6
 # Links one task may settle: two ids each, a few megabytes.
-SMALL_GRAPH = 200_000
 
 
 # ---- embedding -----------------------------------------------------------------------------------
@@ -288,62 +288,9 @@ def _forest(close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(rows, dtype=int), np.asarray(columns, dtype=int)
 
 
-def fold_members(pairs: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
-    """(node, root) for every linked node: the smallest node of its connected component.
-
-    Up to `small_graph` links, counted first, one task settles them. Beyond that two alternating rounds hang
-    every node under the smallest node in reach until nothing moves; each is one aggregate and one join, and
-    a hub's links are never gathered.
-    """
-    links = stored(pairs.select("a", "b").distinct(), "links")
-    if links.count() <= small_graph:
-        node_type = links.schema["a"].dataType.simpleString()
-        return links.coalesce(1).mapInPandas(_settle, f"node {node_type}, root {node_type}")
-    state = None
-    while True:
-        links = stored(_to_smallest(_to_smallest(links, larger=True), larger=False), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    # Links are now stars: (root, member).
-    return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
-        links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    )
-
-
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict = {}
-
-    def root_of(node):
-        while parent[node] != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
-
-    for batch in batches:
-        for a, b in zip(batch["a"], batch["b"]):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            x, y = root_of(a), root_of(b)
-            parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    yield pd.DataFrame({"node": nodes, "root": [root_of(n) for n in nodes]})
-
-
-def _to_smallest(links: DataFrame, larger: bool) -> DataFrame:
-    """Re-hang, for each node u, its larger (or its smaller) neighbours under the smallest node u knows."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ways = both.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if not larger:
-        ways = ways.where("v < u")
-    smallest = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = ways.join(smallest, "u")
-    if larger:
-        hung = moved.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    else:
-        hung = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(smallest.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return hung.where("a <> b").distinct()
+def fold_members(pairs: DataFrame) -> DataFrame:
+    """(node, root) for every linked node: the smallest node of its connected component."""
+    return components(pairs)
 
 
 # ---- matching ------------------------------------------------------------------------------------
