@@ -79,7 +79,26 @@ k AS (SELECT r, sum(size) OVER (ORDER BY finish, source NULLS LAST, spot, doc_id
 mix AS (SELECT q.*, coalesce(n, 0) AS copies FROM q LEFT JOIN (SELECT r, count(*) AS n FROM k WHERE ok GROUP BY r) USING (r))"""
 
 
+def _near(width: int, source: str = "documents") -> str:
+    """CTEs up to `near` (doc_id, n_shingles, component_id), for unique doc_ids; recursive."""
+    parts = " || chr(32) || ".join(f"ws[i + {k}]" for k in range(width))
+    return f"""
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS ws FROM {source}),
+sh AS (
+  SELECT DISTINCT doc_id, {parts} AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS i FROM words WHERE len(ws) >= {width})
+  UNION ALL SELECT doc_id, '<' || array_to_string(ws, ' ') FROM words WHERE len(ws) BETWEEN 1 AND {width - 1}
+),
+sized AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM pairs JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * both_ >= 80 * (p.n + q.n - both_)),
+ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(a, b) AS (SELECT doc_id, doc_id FROM {source} UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+near AS (SELECT d.doc_id, coalesce(any_value(sized.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+  FROM {source} d JOIN reach ON reach.a = d.doc_id LEFT JOIN sized ON sized.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
+
 ORACLE = {
+    "op2_minhash_forest": f"WITH RECURSIVE {_near(2)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op1_quality_rules": f"{_verdicts()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict",
     "op8_url_filter": """
 WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

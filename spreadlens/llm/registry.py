@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import mixing, oracle, quality_rules, url_filter
+from spreadlens.llm import minhash_forest, mixing, oracle, quality_rules, url_filter
 from spreadlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op2_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, d, "documents"), width=2)
+
+
 @query
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
