@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import minhash_forest, mixing, oracle, quality_rules, url_filter
+from spreadlens.llm import minhash_forest, mixing, oracle, quality_rules, suffix_dedup, url_filter
 from spreadlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,8 @@ def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(table(spark, d, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, d, "documents"))
