@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import minhash_forest, mixing, oracle, quality_rules, suffix_dedup, url_filter
+from spreadlens.llm import minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, token_files, url_filter
 from spreadlens.llm.common import table
+from spreadlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,6 +17,13 @@ ORACLE: dict[str, str] = dict(oracle.ORACLE)
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies; the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -31,6 +39,18 @@ def op2_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, d, "documents"), width=2)
 
 
+@query
+def op5_piece_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    return piece_viterbi.encode_pieces(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+
+
+@query
+def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, d, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_digests(spark, path)
+
+
 @query
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
