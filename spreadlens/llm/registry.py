@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, token_files, url_filter
+from spreadlens.llm import minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
@@ -39,6 +39,11 @@ def op2_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, d, "documents"), width=2)
 
 
+@query
+def op3_suffix_tree_lm(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_tree_lm.score_texts(table(spark, d, "documents"))
+
+
 @query
 def op5_piece_viterbi(spark: SparkSession, d: str) -> DataFrame:
     return piece_viterbi.encode_pieces(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
