@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
+from spreadlens.llm import hnsw, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
@@ -56,6 +56,12 @@ def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+@query
+def op7_hnsw(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return hnsw.search(hnsw.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 @query
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
