@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadlens.llm import hnsw, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
+from spreadlens.llm import hnsw, kneser_ney, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
@@ -44,6 +44,11 @@ def op3_suffix_tree_lm(spark: SparkSession, d: str) -> DataFrame:
     return suffix_tree_lm.score_texts(table(spark, d, "documents"))
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op5_piece_viterbi(spark: SparkSession, d: str) -> DataFrame:
     return piece_viterbi.encode_pieces(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
