@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spreadlens.llm import hnsw, kneser_ney, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = dict(oracle.ORACLE)
+ORACLE: dict[str, str] = {**oracle.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -81,3 +82,8 @@ def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, d, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
