@@ -2,11 +2,13 @@
 
 1. Every document's distinct shingles give a digest of the set, 128 MinHash values and a sketch of 128 bits. Documents with
    one set become one class, so a hot group of copies is a single row from here on.
-2. The signature is read in 32 rotated orders (trees). Classes that share the first four values of an order are a region; the
-   longer the common prefix, the more alike they are. A region of more than `region_rows` classes is told apart by the
-   next value, again and again while it is crowded (adaptive depth), and at the deepest level by sorted blocks; its members
-   also stay tied to the region's first member. Within a region all pairs of sketches are compared, and a spanning forest of
-   those that may reach the similarity is kept: candidates only group documents here, so fewer links lose nothing.
+2. The signature is read in 32 rotated orders (trees) and all classes are range-sorted by them, so that the longest common
+   prefixes are neighbours. Classes that share the first four values of an order are a region, a run of the sorted rows. A
+   run of more than `region_rows` classes is told apart by the next value, again and again while it is crowded (adaptive
+   depth), and at the deepest level into blocks; the first rows of the pieces are compared with each other. Within a
+   piece all pairs of sketches are compared, and a spanning forest of those that may reach the similarity is kept:
+   candidates only group documents here, so fewer links lose nothing. A hot region spreads over many ranges; the rows where
+   two ranges meet are compared in a step of their own.
    A pair at 0.8 shares no region of 32 with probability (1 - 0.8^4)^32, about 5e-8.
 3. Candidate groups get their texts back, each once, and links are confirmed on whole sets, again as a spanning forest: within
    a group every pair is compared until it is known to be connected. A group of more than `group_rows` classes is not
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, deep, rep, n_shingles, s1, s2): one for each tree."""
+    """Rows (part, deep, rep, n_shingles, s1, s2), part being the region: one for each tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -110,7 +112,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = lambda i: pa.array(np.tile(batch.column(i).to_numpy(zero_copy_only=False), TREES))
         yield pa.RecordBatch.from_arrays(
             [pa.array(region.ravel().view(np.int64)), pa.array(deep.ravel().view(np.int64)), again(0), again(1), again(2), again(3)],
-            names=["region", "deep", "rep", "n_shingles", "s1", "s2"],
+            names=_COLUMNS,
         )
 
 
@@ -139,72 +141,105 @@ def _forest(sizes: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int) ->
     return links
 
 
-def _region_links(percent: int):
+def _run_links(deep: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int, most: int) -> list[tuple[int, int]]:
+    """Links within a sorted run of one region. A crowded run is cut where the next value changes, as deep as needed, then
+    into blocks; the first rows of the pieces are compared with each other."""
+    out: list[tuple[int, int]] = []
+
+    def among(rows: np.ndarray) -> None:
+        out.extend((int(rows[a]), int(rows[b])) for a, b in _forest(n[rows], s1[rows], s2[rows], percent))
+
+    def pieces(rows: np.ndarray, level: int) -> None:
+        if len(rows) <= most:
+            among(rows)
+            return
+        if level < DEEPER:
+            value = deep[rows] >> U64(16 * (DEEPER - 1 - level))
+            cuts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        else:
+            cuts = np.append(np.arange(0, len(rows), most // 2), len(rows))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            pieces(rows[a:b], level + 1)
+        heads = rows[cuts[:-1]]
+        for a in range(0, len(heads), most - 1):
+            among(heads[max(a - 1, 0) : a + most - 1])
+
+    pieces(np.arange(len(n)), 0)
+    return out
+
+
+_LINKED = "a long, b long, edge int, part long, deep long, n_shingles long, s1 long, s2 long"
+_COLUMNS = ["part", "deep", "rep", "n_shingles", "s1", "s2"]
+
+
+def _sorted_links(percent: int, most: int):
+    """Links from rows in sorted order. A run longer than some batches is settled in pieces that share a row. The rows at either
+    end of a partition are passed on, as their region may go on in the next one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        held, head_open, first_part = None, True, None
+        head: list[pd.DataFrame] = []
         for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            # The last region may go on in the next batch; a region has at most REGION_ROWS rows.
-            last = batch["part"].iloc[-1] if len(batch) else None
-            held = batch[batch["part"] == last] if last is not None else held
-            yield _links_of(batch[batch["part"] != last], percent)
-        if held is not None and len(held):
-            yield _links_of(held, percent)
+            if not len(batch):
+                continue
+            if first_part is None:
+                first_part = batch["part"].iloc[0]
+            if head_open:
+                of_first = batch[batch["part"] == first_part]
+                head.append(of_first.iloc[: most - sum(map(len, head))])
+                head_open = len(of_first) == len(batch) and sum(map(len, head)) < most
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows["part"] == rows["part"].iloc[-1]
+            if last.sum() > 20 * most:
+                yield _links_of(rows, percent, most)
+                held = rows.iloc[-1:]
+            else:
+                yield _links_of(rows[~last], percent, most)
+                held = rows[last]
+        if held is not None:
+            yield _links_of(held, percent, most)
+            for rows, edge in ((pd.concat(head), number - 1), (held.iloc[-most:], number)):
+                yield rows.rename(columns={"rep": "a"}).assign(b=None, edge=edge)[["a", "b", "edge", "part", "deep", "n_shingles", "s1", "s2"]]
 
     return run
 
 
-def _links_of(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _links_of(rows: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
     out: list[np.ndarray] = []
     if len(rows):
         part = rows["part"].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         rep, n = rows["rep"].to_numpy(), rows["n_shingles"].to_numpy()
-        s1, s2 = (rows[x].to_numpy().view(U64) for x in ("s1", "s2"))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                links = _forest(n[a:b], s1[a:b], s2[a:b], percent)
-                if links:
-                    out.append(rep[a:b][np.array(links)])
+        deep, s1, s2 = (rows[x].to_numpy().view(U64) for x in ("deep", "s1", "s2"))
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        for a, b in zip(cuts[several], cuts[several + 1]):
+            links = _run_links(deep[a:b], n[a:b], s1[a:b], s2[a:b], percent, most)
+            if links:
+                out.append(rep[a:b][np.array(links)])
     pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)} if len(pairs) else {"a": pairs[:, 0], "b": pairs[:, 1]})
+    found = pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))}).drop_duplicates()
+    return found.assign(edge=None, part=None, deep=None, n_shingles=None, s1=None, s2=None)
+
+
+def _edge_links(percent: int, most: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.rename(columns={"a": "rep"}).drop_duplicates(["part", "rep"]).sort_values(["part", "deep", "rep"])
+        return _links_of(rows, percent, 2 * most)[["a", "b"]]
+
+    return run
 
 
 def candidate_links(classes: DataFrame, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
     """(a, b) links between classes (rep, n_shingles, s1, s2, sig) that share a region and may be similar."""
-    spark = classes.sparkSession
-    rows = classes.select("rep", "n_shingles", "s1", "s2", "sig").mapInArrow(_plant, "region long, deep long, rep long, n_shingles long, s1 long, s2 long")
-    rows = rows.withColumnRenamed("region", "part")
-    first = F.min(F.struct("rep", "n_shingles", "s1", "s2")).alias("first")
-    settled, level = [], 0
-    while True:
-        crowds = rows.groupBy("part").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-        known = stored(rows.join(crowds, "part"), "regions")
-        settled.append(known.where(F.col("crowd") <= region_rows).drop("crowd"))
-        hot = known.where(F.col("crowd") > region_rows)
-        if not hot.take(1):
-            break
-        hot = hot.join(hot.groupBy("part").agg(first), "part")
-        # A crowded region: every member is tied to the first, and the region is told apart by the next value.
-        agree = HASHES - F.bit_count(F.col("s1").bitwiseXOR(F.col("first.s1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("first.s2")))
-        tie = (agree >= _agreeing_bits(percent)) & (100 * F.least("n_shingles", "first.n_shingles") >= percent * F.greatest("n_shingles", "first.n_shingles"))
-        star = hot.where(tie & (F.col("rep") != F.col("first.rep"))).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-        settled.append(star)
-        if level < DEEPER:
-            value = F.shiftrightunsigned("deep", 16 * (DEEPER - 1 - level)).bitwiseAND(F.lit(0xFFFF))
-            rows = hot.select("deep", "rep", "n_shingles", "s1", "s2", F.xxhash64("part", value).alias("part"))
-        else:
-            blocks = F.ceil(2 * F.col("crowd") / region_rows)
-            block = F.pmod(F.xxhash64("rep", F.lit(level)), blocks)
-            rows = hot.select("deep", "rep", "n_shingles", "s1", "s2", F.xxhash64("part", block).alias("part"))
-        level += 1
-    links = None
-    for part in settled:
-        if "part" in part.columns:
-            part = part.repartition(c.shuffle_partitions(spark), "part").sortWithinPartitions("part", "deep", "rep").mapInPandas(_region_links(percent), "a long, b long")
-        links = part if links is None else links.unionByName(part)
-    return links.distinct()
+    rows = classes.select("rep", "n_shingles", "s1", "s2", "sig").mapInArrow(_plant, "part long, deep long, rep long, n_shingles long, s1 long, s2 long")
+    n = c.shuffle_partitions(classes.sparkSession)
+    placed = rows.repartitionByRange(n, "part", "deep", "rep").sortWithinPartitions("part", "deep", "rep").select(*_COLUMNS)
+    found = stored(placed.mapInPandas(_sorted_links(percent, region_rows), _LINKED), "candidates")
+    across = found.where("edge is not null").groupBy("edge").applyInPandas(_edge_links(percent, region_rows), "a long, b long")
+    return found.where("edge is null").select("a", "b").unionByName(across).distinct()
 
 
 def _set_links(keys: list, sets: list[np.ndarray], percent: int, first_only: bool = False) -> list[tuple]:
@@ -279,6 +314,8 @@ def confirmed_links(members: DataFrame, width: int, percent: int, group_rows: in
     pivots = hot.select("grp", "rep", "text", "n").withColumn("turn", F.row_number().over(lowest)).where(F.col("turn") <= PIVOTS)
     n_blocks = F.ceil(2 * F.col("n") / group_rows).cast("int")
     meeting = pivots.select("grp", "rep", "text", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+    # toDF names the columns anew: both sides stem from the members.
+    meeting = meeting.toDF(*meeting.columns)
     stars = stored(
         meeting.groupBy("grp", "block").cogroup(hot.select("grp", "block", "rep", "text").groupBy("grp", "block")).applyInPandas(_pair_links(width, percent), "a long, b long"), "stars"
     )
@@ -289,8 +326,10 @@ def confirmed_links(members: DataFrame, width: int, percent: int, group_rows: in
     loose = placed.join(widest, "grp").where("root <> widest").select("rep", "n")
     # What isn't in the widest star meets all blocks of its group.
     again = hot.select("grp", "rep", "text").join(loose, "rep").select("grp", "rep", "text", F.pmod(F.xxhash64("rep", F.lit(2)), n_blocks).alias("piece"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+    again = again.toDF(*again.columns)
     pieces = again.select("grp", "block", "piece").distinct()
     others = hot.select("grp", "block", "rep", "text").join(pieces, ["grp", "block"])
+    others = others.toDF(*others.columns)
     rest = again.groupBy("grp", "block", "piece").cogroup(others.groupBy("grp", "block", "piece")).applyInPandas(_pair_links(width, percent), "a long, b long")
     return small.unionByName(stars).unionByName(rest)
 
@@ -303,7 +342,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, reg
     classes = stored(known.groupBy(*sets).agg(F.min("doc_id").alias("rep"), *(F.any_value(x).alias(x) for x in ("s1", "s2", "sig"))), "classes")
     groups = components(candidate_links(classes, percent, region_rows)).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     groups = stored(groups, "groups")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups, "rep")
+    # A shuffled join at every size: the groups grow with the documents, so a broadcast would only suit small inputs.
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.hint("shuffle_hash"), "rep")
     # A doc_id of several rows is one document: the largest of its texts stands for it here, its other sets are tied below.
     texts = texts.groupBy("rep").agg(F.any_value("grp").alias("grp"), F.max("text").alias("text"))
     links = confirmed_links(texts, width, percent, group_rows)
