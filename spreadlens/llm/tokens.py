@@ -16,19 +16,20 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     Words are runs free of space, tab, newline, vertical tab, form feed and carriage return; NULL has none. Only A-Z are
     lowered.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = lists.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy(zero_copy_only=False)
+    codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+    if lower:
+        # Distinct words are lowered, not texts: fewer bytes, and ascii_lower misplaces the values of sliced arrays.
+        lowered = pc.ascii_lower(words).dictionary_encode()
+        codes, words = lowered.indices.to_numpy(zero_copy_only=False)[codes], lowered.dictionary
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    empty = pc.index(flat.dictionary, "").as_py()
+    empty = pc.index(words, "").as_py()
     if empty >= 0:
         keep = codes != empty
         codes, doc = codes[keep], doc[keep]
     starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int64)
-    return codes, starts, flat.dictionary
+    return codes, starts, words
 
 
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
