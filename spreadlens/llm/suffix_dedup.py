@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from spreadlens.llm import common as c
 from spreadlens.llm.tokens import U64, mix
 
-LENGTH, CHUNK, SPREAD = 50, 1 << 21, 4
+LENGTH, CHUNK, BUCKETS = 50, 1 << 21, 2
 _BLOB = "bucket int, part int, base long, n long, a binary, b binary, d binary"
 _FIELDS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("base", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("d", pa.binary())])
 
@@ -353,11 +353,11 @@ def _finish(length: int, texts: bool):
 
 
 def _deduplicated(docs: DataFrame, length: int, texts: bool) -> DataFrame:
-    parts = SPREAD * c.shuffle_partitions(docs.sparkSession)
+    parts = c.shuffle_partitions(docs.sparkSession)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(c.LONG_MIN))
     digest = F.xxhash64("text")
     carried = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("_doc") if texts else F.col("doc_id")
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", digest), F.lit(parts)).cast("int").alias("bucket"), order.alias("_order"), digest.alias("_digest"), F.col("text").cast("binary").alias("_text"), carried)
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", digest), F.lit(BUCKETS * parts)).cast("int").alias("bucket"), order.alias("_order"), digest.alias("_digest"), F.col("text").cast("binary").alias("_text"), carried)
     by_bucket = dealt.groupBy("bucket")
     answers = by_bucket.applyInArrow(_send_stretches(parts, length), _BLOB).groupBy("part").applyInArrow(_rank_stretches, _BLOB)
     asked = by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(_settle_and_ask(parts, length), _BLOB)
