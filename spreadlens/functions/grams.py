@@ -1,7 +1,11 @@
-"""Character n-grams inside blank-padded words, hashed to signed dimensions without leaving the JVM."""
+"""Character n-grams inside blank-padded words, hashed to signed dimensions."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,32 +25,69 @@ def _hash32(gram: Column, hash_name: str) -> Column:
     raise ValueError(f"unknown hash {hash_name!r}; use md5 or xxhash64")
 
 
-def gram_codes(text: Column, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> Column:
-    """array<int>, one per gram: twice its dimension, plus one where its sign is negative."""
+def _checked(dim: int, ngram: tuple[int, int]) -> tuple[int, int]:
     low, high = ngram
     if dim < 16:
         raise ValueError("dim must be at least 16")
     if low < 1 or high < low:
         raise ValueError("ngram must be (low, high) with 1 <= low <= high")
+    return low, high
+
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        # Longer grams stop at the padded word's own length, so a short word counts once.
-        lengths = F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(F.lit(low), size)))
-        return F.flatten(
-            F.transform(
-                lengths,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                    lambda start: F.substring(padded, start, n),
-                ),
-            )
+def _grams(word: Column, low: int, high: int) -> Column:
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    size = F.length(padded)
+    # Longer grams stop at the padded word's own length, so a short word counts once.
+    lengths = F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(F.lit(low), size)))
+    return F.flatten(
+        F.transform(
+            lengths,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
+                lambda start: F.substring(padded, start, n),
+            ),
         )
+    )
 
-    def code(number: Column) -> Column:
-        return (F.pmod(number, F.lit(dim)) * 2 + F.floor(number / dim) % 2).cast("int")
 
+def _codes(grams: Column, dim: int, hash_name: str) -> Column:
     # Numbers first, then codes: inside one lambda the hash would be computed twice.
-    numbers = F.transform(F.flatten(F.transform(words(F.lower(text)), grams)), lambda gram: _hash32(gram, hash_name))
-    return F.transform(numbers, code)
+    numbers = F.transform(grams, lambda gram: _hash32(gram, hash_name))
+    return F.transform(numbers, lambda number: (F.pmod(number, F.lit(dim)) * 2 + F.floor(number / dim) % 2).cast("int"))
+
+
+def word_codes(word: Column, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> Column:
+    """array<int>, one per gram of one word: twice its dimension, plus one where its sign is negative."""
+    return _codes(_grams(word, *_checked(dim, ngram)), dim, hash_name)
+
+
+def gram_codes(text: Column, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> Column:
+    """array<int>, one per gram of all words of a text."""
+    low, high = _checked(dim, ngram)
+    return _codes(F.flatten(F.transform(words(F.lower(text)), lambda word: _grams(word, low, high))), dim, hash_name)
+
+
+def hashed_grams(distinct: list[str], dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words one after another, ends with a leading zero): the numbers of `word_codes`, for tasks that work on arrays."""
+    low, high = _checked(dim, ngram)
+    if hash_name == "md5":
+        number = lambda gram: int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big")
+    elif hash_name == "xxhash64":
+        number = lambda gram: xxhash.xxh64_intdigest(gram.encode(), 42) & 0xFFFFFFFF
+    else:
+        raise ValueError(f"unknown hash {hash_name!r}; use md5 or xxhash64")
+    seen: dict[str, int] = {}
+    numbers, ends = [], [0]
+    for word in distinct:
+        padded = f" {word} "
+        size = len(padded)
+        for n in range(low, min(high, max(low, size)) + 1):
+            for start in range(max(size - n + 1, 1)):
+                gram = padded[start : start + n]
+                value = seen.get(gram)
+                if value is None:
+                    value = seen[gram] = number(gram)
+                numbers.append(value)
+        ends.append(len(numbers))
+    values = np.array(numbers, np.int64)
+    return values % dim * 2 + values // dim % 2, np.array(ends, np.int64)

@@ -7,26 +7,26 @@ A vector travels as `(id, vec, sq)`: `vec` packs the whole-number gram weights a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from spreadlens.functions.grams import DIM, NGRAM, gram_codes
+from spreadlens.functions.grams import DIM, NGRAM, hashed_grams, word_codes
+from spreadlens.functions.text import words
 from spreadlens.operators.graph import components
 from spreadlens.schemas import require_columns
 from spreadlens.session import spread, stored
 
 # Rows of one side of a block product: 4,096 vectors of 512 dims are 8 MB packed.
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
-SLACK = 1e-6
-# Links one task may settle: two ids each, a few megabytes.
 
 
 # ---- embedding -----------------------------------------------------------------------------------
@@ -35,48 +35,76 @@ SLACK = 1e-6
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> DataFrame:
     """Long sparse form (id, dim, w) of unit vectors, with built-in functions only; a zero vector has no rows.
 
-    Rows are placed by id first, so both aggregations below reuse that one shuffle of the texts.
+    Rows are placed by id first, so the aggregations below reuse that one shuffle of the texts; the grams of a word that a
+    text repeats are hashed once.
     """
     placed = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    codes = placed.select("id", F.explode(gram_codes(F.col("text"), dim, ngram, hash_name)).alias("code"))
-    signed = F.when(F.col("code") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    counted = placed.select("id", F.explode(words(F.lower("text"))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("times"))
+    codes = counted.select("id", "times", F.explode(word_codes(F.col("word"), dim, ngram, hash_name)).alias("code"))
+    signed = F.when(F.col("code") % 2 == 0, F.col("times")).otherwise(-F.col("times"))
     summed = codes.groupBy("id", F.floor(F.col("code") / 2).cast("int").alias("dim")).agg(F.sum(signed).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     return summed.where("v <> 0").select("id", "dim", (F.col("v") / norm).alias("w"))
 
 
-def _packed_sums(codes: pa.ListArray, dim: int) -> np.ndarray:
-    """One row of signed gram counts per text."""
-    lengths = np.diff(codes.offsets.to_numpy())
-    flat = codes.flatten().to_numpy().astype(np.int64)
-    slots = np.repeat(np.arange(len(codes)), lengths) * dim + flat // 2
-    return np.bincount(slots, weights=1 - 2 * (flat % 2), minlength=len(codes) * dim).reshape(len(codes), dim)
-
-
-def hash_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> DataFrame:
-    """(id, vec, sq): the JVM makes the gram codes, numpy only adds them up; no row of grams is ever shuffled."""
-    texts = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id")
-    coded = texts.select("id", gram_codes(F.col("text"), dim, ngram, hash_name).alias("codes"))
+def _packed_sums(texts: pa.ListArray, dim: int, ngram: tuple[int, int], hash_name: str) -> np.ndarray:
+    """One row of signed gram counts per text, from its words. Each distinct word of a batch is hashed once, and each text
+    adds a word's grams once, times its count."""
+    lengths = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    flat = texts.flatten().dictionary_encode()
+    n_words = max(len(flat.dictionary), 1)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    pairs, times = np.unique(text * n_words + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    codes, ends = hashed_grams(flat.dictionary.to_pylist(), dim, ngram, hash_name)
+    text, word = pairs // n_words, pairs % n_words
+    out = np.zeros(len(texts) * dim)
+    step = 1 << 18
+    for a in range(0, len(word), step):
+        own = word[a : a + step]
+        size = ends[own + 1] - ends[own]
+        code = codes[np.repeat(ends[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        weight = np.repeat(times[a : a + step], size) * (1 - 2 * (code % 2))
+        slots = np.repeat(text[a : a + step], size) * dim + code // 2
+        low = int(text[a]) * dim
+        sums = np.bincount(slots - low, weights=weight)
+        out[low : low + len(sums)] += sums
+    return out.reshape(len(texts), dim)
+
+
+def hash_vectors(
+    df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, vec, sq) and the carried columns. The JVM splits the texts and numpy adds up the grams, where the rows are:
+    nothing is shuffled, so the number of tasks is the scan's."""
+    coded = df.select(F.col(id_col).alias("id"), words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_words"), *carry)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = _packed_sums(batch.column("codes"), dim)
-            packed = pa.array([row.tobytes() for row in sums.astype("<f4")], pa.binary())
+            sums = _packed_sums(batch.column("_words"), dim, ngram, hash_name)
+            packed = fixed_binary(sums.astype("<f4"))
             squares = pa.array((sums * sums).sum(axis=1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), packed, squares], ["id", "vec", "sq"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed, squares, *(batch.column(c) for c in carry)], ["id", "vec", "sq", *carry])
+
+    fields = [coded.schema["id"], T.StructField("vec", T.BinaryType()), T.StructField("sq", T.LongType()), *(coded.schema[c] for c in carry)]
+    return coded.mapInArrow(add_up, T.StructType(fields))
 
-    return coded.mapInArrow(add_up, f"id {coded.schema['id'].dataType.simpleString()}, vec binary, sq bigint")
+
+def fixed_binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix."""
+    width = rows.shape[1] * rows.dtype.itemsize
+    offsets = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int64) if width else np.zeros(len(rows) + 1, np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+    return whole.cast(pa.binary())
 
 
 def unit_arrays(df: DataFrame, text_col: str, out: str = "embedding", dim: int = DIM, hash_name: str = "md5") -> DataFrame:
     """`df` with the unit vector of a text column as array<double> in the text's place, for estimators."""
-    codes = gram_codes(F.coalesce(F.col(text_col), F.lit("")), dim, hash_name=hash_name)
-    coded = df.withColumn("_codes", codes).drop(text_col)
-    kept = [c for c in coded.columns if c != "_codes"]
+    coded = df.withColumn("_words", words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).drop(text_col)
+    kept = [c for c in coded.columns if c != "_words"]
 
     def normalised_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = _packed_sums(batch.column("_codes"), dim)
+            sums = _packed_sums(batch.column("_words"), dim, NGRAM, hash_name)
             units = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1.0)
             offsets = pa.array(np.arange(0, units.size + 1, dim, dtype=np.int32))
             arrays = pa.ListArray.from_arrays(offsets, pa.array(units.ravel()))
@@ -87,23 +115,26 @@ def unit_arrays(df: DataFrame, text_col: str, out: str = "embedding", dim: int =
 
 def pack_arrays(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """(id, vec, sq) from ready-made float vectors, such as a model's embeddings."""
-    plain = df.select(F.col(id_col).alias("id"), F.col(array_col).alias("v"))
+    plain = df.select(F.col(id_col).alias("id"), F.col(array_col).cast("array<float>").alias("v"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.asarray(v, dtype="<f4") for v in batch["v"]]
-            squares = [float(np.square(r.astype(float)).sum()) for r in rows]
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "vec": [r.tobytes() for r in rows], "sq": squares})
+            rows = batch.column("v")
+            flat = rows.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            rows = flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), "<f4")
+            squares = pa.array((rows.astype(float) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fixed_binary(rows), squares], ["id", "vec", "sq"])
 
-    return plain.mapInPandas(pack, f"id {plain.schema['id'].dataType.simpleString()}, vec binary, sq double")
+    return plain.mapInArrow(pack, f"id {plain.schema['id'].dataType.simpleString()}, vec binary, sq double")
 
 
-def _matrix(vecs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), dtype="<f4").reshape(len(vecs), -1).astype(np.float64)
+def _matrix(vecs: pd.Series | pa.ChunkedArray) -> np.ndarray:
+    rows = vecs.to_pylist() if isinstance(vecs, pa.ChunkedArray) else vecs
+    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1).astype(np.float64)
 
 
-def _cosines(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    lengths = np.sqrt(np.outer(left["sq"].to_numpy(float), right["sq"].to_numpy(float)))
+def _cosines(left: pd.DataFrame | pa.Table, right: pd.DataFrame | pa.Table) -> np.ndarray:
+    lengths = np.sqrt(np.outer(left["sq"].to_numpy().astype(float), right["sq"].to_numpy().astype(float)))
     dots = _matrix(left["vec"]) @ _matrix(right["vec"]).T
     return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
@@ -114,74 +145,68 @@ def _cosines(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 def nearest(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, item_id, similarity, position): each query's `k` most similar items, ties by item id.
 
-    Items are cut into blocks of at most `block_rows`. One block is small enough to send to every task, and
-    the queries then do not move at all; more blocks are met by copies of the queries, a chunk at a time,
-    each task keeping its own top k, and the tops are merged afterwards. Either way the result is exact.
+    Items are cut into blocks of at most `block_rows` and met by copies of the queries, a chunk at a time; each task
+    keeps its own top k, and the tops are merged afterwards. The result is exact.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     schema = f"query_id {queries.schema['id'].dataType.simpleString()}, item_id {items.schema['id'].dataType.simpleString()}, similarity double"
     items = stored(items.select("id", "vec", "sq"), "items")
     n_items = items.count()
+    queries_type, items_type = (to_arrow_type(x.schema["id"].dataType) for x in (queries, items))
+    queries = stored(queries.select("id", "vec", "sq"), "queries")
+    item_blocks = max(1, math.ceil(n_items / block_rows))
+    # Enough chunks for every core, also where there are few items.
+    chunks = max(1, math.ceil(queries.count() / block_rows), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // item_blocks)
+    left = queries.select(
+        F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("block"), "id", "vec", "sq"
+    )
+    right = items.select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
+        F.pmod(F.xxhash64("id"), F.lit(item_blocks)).cast("int").alias("block"), "id", "vec", "sq",
+    )
 
-    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sims = np.round(_cosines(left, right), 6)
-        right_ids = right["id"].to_numpy()
-        keep = min(k, len(right))
-        # Items arrive sorted by id, so a stable sort breaks ties by id.
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = [queries_type, items_type, pa.float64()]
+        keep = min(k, b.num_rows)
+        if not a.num_rows or not keep:
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=["query_id", "item_id", "similarity"])
+        # Items sorted by id, so a stable sort breaks ties by id.
+        b = b.sort_by("id")
+        sims = np.round(_cosines(a, b), 6)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(left["id"].to_numpy(), keep),
-                "item_id": right_ids[order.ravel()],
-                "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-            }
-        )
-
-    if n_items <= block_rows:
-        # At most `block_rows` packed vectors, 8 MB at 512 dims.
-        block = items.orderBy("id").toPandas()
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(block):
-                    yield top(batch, block)
-
-        found = queries.select("id", "vec", "sq").mapInPandas(scan, schema)
-    else:
-        queries = stored(queries.select("id", "vec", "sq"), "queries")
-        item_blocks = math.ceil(n_items / block_rows)
-        chunks = max(1, math.ceil(queries.count() / block_rows))
-        left = queries.select(
-            F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("block"), "id", "vec", "sq"
-        )
-        right = items.select(
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
-            F.pmod(F.xxhash64("id"), F.lit(item_blocks)).cast("int").alias("block"), "id", "vec", "sq",
-        )
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-            return top(a, b.sort_values("id"))
-
-        found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, schema)
+        columns = [
+            a.column("id").take(pa.array(np.repeat(np.arange(a.num_rows), keep))).combine_chunks(),
+            b.column("id").take(pa.array(order.ravel())).combine_chunks(),
+            pa.array(np.take_along_axis(sims, order, axis=1).ravel()),
+        ]
+        return pa.Table.from_arrays([x.cast(t) for x, t in zip(columns, kinds)], names=["query_id", "item_id", "similarity"])
+
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(meet, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 
 
+def block_copies(vectors: DataFrame, blocks: int) -> DataFrame:
+    """Copies of `vectors` for tasks (i, j), i <= j: a vector of block b is a row of (b, j) for j >= b and a column of (i, b)
+    for i < b, so it is copied once for each block."""
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    roles = F.transform(
+        F.sequence(F.lit(0), F.lit(blocks - 1)),
+        lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"), (k < block).alias("right")),
+    )
+    return vectors.select("id", "vec", "sq", F.explode(roles).alias("role")).select("role.i", "role.j", "role.right", "id", "vec", "sq")
+
+
 # ---- near copies ---------------------------------------------------------------------------------
 
 
 def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity), a < b: every pair with cosine at least `threshold`, found exactly.
 
-    Each vector belongs to its nearest pivot. On the unit sphere a cosine of t is a distance of
-    sqrt(2 - 2t), so a pair in two cells can only be that close if the one is within that distance of the
-    plane between the two pivots; it then visits the cell with the lower number, and no other pair across
-    cells is looked at. A crowded cell is cut into blocks and its block pairs become separate tasks, so no
-    cell fills a task. With `forest`, a task returns a spanning forest of the links it found instead of all
-    of them: the same components from at most one link per vector, also where a third of the texts are copies.
+    Vectors are cut into blocks of at most `block_rows`, and each pair of blocks is a task: a vector is copied once for each
+    block and no more, whatever the threshold. With `forest`, a task returns a spanning forest of the links it found instead
+    of all of them: the same components from at most one link per vector, also where a third of the texts are copies.
     """
     require_columns(vectors, ("id", "vec", "sq"))
     if not 0 < threshold <= 1:
@@ -194,54 +219,7 @@ def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool
     if n < 2:
         return spark.createDataFrame([], pair_schema)
 
-    # A bounded number of vectors, whatever n is: sqrt(n), at most MAX_PIVOTS.
-    wanted = min(MAX_PIVOTS, max(1, math.isqrt(n)))
-    pivot_rows = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()
-    pivots = _matrix(pivot_rows["vec"])
-    pivots = np.unique(np.round(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), 9), axis=0)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    gaps = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = _matrix(batch["vec"]) / np.sqrt(batch["sq"].to_numpy(float))[:, None]
-            near = rows @ pivots.T
-            home = near.argmax(axis=1)
-            at_home = near[np.arange(len(rows)), home]
-            # Distance to the plane between the home pivot and each other one.
-            with np.errstate(divide="ignore", invalid="ignore"):
-                to_plane = (at_home[:, None] - near) / gaps[home]
-            guest = (to_plane <= reach) & (np.arange(len(pivots))[None, :] < home[:, None])
-            who, where = np.nonzero(guest)
-            for cells, index, is_guest in ((home, np.arange(len(rows)), False), (where, who, True)):
-                visiting = batch.iloc[index]
-                yield pd.DataFrame({"cell": cells.astype(np.int32), "guest": is_guest, "id": visiting["id"].to_numpy(), "vec": visiting["vec"].to_numpy(), "sq": visiting["sq"].to_numpy()})
-
-    sq_type = vectors.schema["sq"].dataType.simpleString()
-    visits = stored(
-        vectors.mapInPandas(visit, f"cell int, guest boolean, id {id_type}, vec binary, sq {sq_type}"), "visits"
-    )
-    # One row per pivot: how many blocks its residents and its guests make.
-    sizes = visits.groupBy("cell").agg(
-        F.ceil(F.count_if(~F.col("guest")) / block_rows).cast("int").alias("homes"),
-        F.ceil(F.count_if(F.col("guest")) / block_rows).cast("int").alias("guests"),
-    )
-    placed = visits.join(F.broadcast(sizes), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
-    )
-    # A resident block i meets resident blocks j >= i (column 0 to homes - 1) and every guest block
-    # (columns from homes on); a task is one (row i, column j) of that table.
-    as_row = F.transform(
-        F.sequence(F.col("block"), F.col("homes") + F.col("guests") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("right"))
-    )
-    as_column = F.transform(
-        F.filter(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("homes") - 1).otherwise(F.col("block"))), lambda i: F.col("guest") | (i < F.col("block"))),
-        lambda i: F.struct(i.alias("i"), F.when(F.col("guest"), F.col("homes") + F.col("block")).otherwise(F.col("block")).alias("j"), F.lit(True).alias("right")),
-    )
-    roles = F.when(F.col("guest"), as_column).otherwise(F.concat(as_row, as_column))
-    tasks = placed.where("homes > 0").select("cell", "id", "vec", "sq", F.explode(roles).alias("role")).select("cell", "role.i", "role.j", "role.right", "id", "vec", "sq")
+    tasks = block_copies(vectors, math.ceil(n / block_rows))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
@@ -258,7 +236,7 @@ def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool
         swap = x > y
         return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "similarity": sims[rows, columns]})
 
-    return spread(tasks, "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(compare, pair_schema)
+    return spread(tasks, "i", "j").groupBy("i", "j").applyInPandas(compare, pair_schema)
 
 
 def _forest(close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:

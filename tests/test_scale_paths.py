@@ -122,3 +122,26 @@ def test_turing_test_tells_junk_from_copies(spark):
     assert drafting.turing_test(embed(copies), embed(real)).first().auc < 0.8
     with pytest.raises(ValueError):
         drafting.turing_test(embed(copies[:1]), embed(real))
+
+
+def test_vectors_are_copied_once_for_each_block(spark):
+    df = spark.createDataFrame(texts(3, 200, 20), "id bigint, text string")
+    vectors = similarity.hash_vectors(df, "id", "text")
+    copies = similarity.block_copies(vectors, 7)
+    assert copies.count() == 7 * 200
+    assert copies.groupBy("i", "j").count().count() == 28
+    text = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text
+
+
+def test_codes_in_python_equal_those_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from spreadlens.functions.grams import hashed_grams, word_codes
+
+    names = ["a", "it", "the", "über", "a\U0001f600b", "x" * 40, "1,5"]
+    df = spark.createDataFrame([(w,) for w in names], "w string")
+    for hash_name in ("md5", "xxhash64"):
+        rows = [r.c for r in df.select(word_codes(F.col("w"), 64, (3, 5), hash_name).alias("c")).collect()]
+        codes, ends = hashed_grams(names, 64, (3, 5), hash_name)
+        assert rows == [codes[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
