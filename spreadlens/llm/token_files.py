@@ -16,20 +16,26 @@ their ids' digest; an empty table makes no segment; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadlens.llm import common as c
 from spreadlens.llm.tokens import word_codes
 
-BLOCK_BITS, SEGMENT_IDS, CACHED_WORDS = 512, 1 << 20, 200_000
+BLOCK_BITS, SEGMENT_IDS, CACHED_WORDS, JOINED = 512, 1 << 20, 500_000, 50
+TAILED = "^(?P<body>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[.,;:!?]+)$"
+# Only words of these characters are joined: the library's normalising keeps their places.
+JOINABLE = re.compile("[!-~À-ÿ]+").fullmatch
 HEAD = "<4sIQ"
 MAGIC = b"DAC1"
 
@@ -96,7 +102,11 @@ class DacReader:
 
 
 class WordEncoder:
-    """Ids of words, by the tokenizer library, kept for the words of a task up to a bound."""
+    """Ids of words, by the tokenizer library, kept for the words of a process up to a bound.
+
+    The vocabulary's rule cuts between a letter and the full stops, commas and the like after it, and it lowers A-Z, so
+    words are looked up without such a tail and lowered. Words that hold the mark of special tokens are left as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -107,22 +117,51 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.slots.clear()
-        self.ids, self.ends = [np.empty(0, np.uint32)], [0]
-
-    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot of each word, ends of slots, ids of all slots)."""
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self._slots([""])
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        slots = self.slots
+        new = [w for w in words if w not in slots]
+        if new:
+            coded, sizes = self._encode(new)
+            slots.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
+            self.ids = np.concatenate([self.ids, coded])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of each). Simple words are encoded some dozens at a time, joined by spaces."""
+        plain = [w for w in words if JOINABLE(w)]
+        out: dict[str, list[int]] = {}
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            groups = [part[k : k + JOINED] for k in range(0, len(part), JOINED)]
+            for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                begins = np.cumsum([0, *(len(w) + 1 for w in group)])
+                ids, at = e.ids, [a for a, _ in e.offsets]
+                cuts = np.searchsorted(at, begins)
+                for k, w in enumerate(group):
+                    out[w] = ids[cuts[k] : cuts[k + 1]]
+        others = [w for w in words if w not in out]
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
+            out.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
+        coded = [out[w] for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of each word's body and of its tail; rows of `ids` between `ends`."""
         if len(self.slots) > CACHED_WORDS:
             self._reset()
-        new = [w for w in words if w not in self.slots]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            for w, ids in zip(part, coded):
-                self.slots[w] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(ids))
-            self.ids.append(np.fromiter((x for ids in coded for x in ids), np.uint32))
-        self.ids = [np.concatenate(self.ids)]
-        return np.fromiter((self.slots[w] for w in words), np.int64, len(words)), np.array(self.ends), self.ids[0]
+        parts = pc.extract_regex(words, TAILED)
+        body = pc.if_else(parts.is_valid(), pc.struct_field(parts, "body"), words)
+        tail = pc.if_else(parts.is_valid(), pc.struct_field(parts, "tail"), "")
+        body = pc.if_else(pc.match_substring(words, "<|"), body, pc.ascii_lower(body)).dictionary_encode()
+        tail = tail.dictionary_encode()
+        of = lambda x: self._slots(x.dictionary.to_pylist())[x.indices.to_numpy()]
+        return of(body), of(tail)
 
 
 def ragged_take(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +192,12 @@ def _encode(path: str, end_id: int, bounds: list[int]):
 
         encoder = encoder_of(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, 3000):
+                batch = whole.slice(i, 3000)
                 codes, starts, words = word_codes(batch.column(1), lower=False)
-                slots, ends, ids = encoder.table(words.to_pylist())
-                flat, size = ragged_take(ids, ends, slots[codes] if len(codes) else np.empty(0, np.int64))
-                upto = np.concatenate([[0], np.cumsum(size)])[starts]
+                body, tail = encoder.table(words)
+                flat, size = ragged_take(encoder.ids, encoder.ends, np.stack([body[codes], tail[codes]], axis=1).ravel())
+                upto = np.concatenate([[0], np.cumsum(size)])[2 * starts]
                 rows = []
                 for d, doc_id in enumerate(batch.column(0).to_pylist()):
                     own = np.append(flat[upto[d] : upto[d + 1]], np.uint32(end_id))
