@@ -14,20 +14,21 @@ from spreadlens.schemas import require_columns
 # Rows an author must exceed to have a history, and flagged posts a lift needs.
 MIN_HISTORY = 2
 MIN_FLAGGED = 3
+# Ways to spread the rows of one author and like count.
+SALTS = 16
 
 
 def author_baselines(df: DataFrame, author: str = "author_id", likes: str = "like_count") -> DataFrame:
     """(author, median_likes, posts) over rows that have both.
 
-    `median` counts distinct like values on the map side, so what reaches one task is bounded by the number
-    of different like counts, not by the author's rows.
+    Equal like counts are counted first and ranked inside value buckets, so no author's values meet in one task.
     """
     require_columns(df, (author, likes))
-    return (
-        df.where(F.col(author).isNotNull() & F.col(likes).isNotNull())
-        .groupBy(F.col(author).cast("string").alias("author"))
-        .agg(F.median(likes).alias("median_likes"), F.count(F.lit(1)).alias("posts"))
-    )
+    rows = df.where(F.col(author).isNotNull() & F.col(likes).isNotNull()).select(F.col(author).cast("string").alias("author"), F.col(likes).alias("likes"))
+    n = F.col("total")
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    middle = (value_at(low, "likes").cast("double") + value_at(high, "likes").cast("double")) / 2
+    return ranked_values(rows, ["author"], "likes").groupBy("author").agg(middle.alias("median_likes"), F.max("total").alias("posts"))
 
 
 def loo_table(df: DataFrame, author: str = "author_id", likes: str = "like_count") -> DataFrame:
@@ -64,15 +65,19 @@ def loo_table(df: DataFrame, author: str = "author_id", likes: str = "like_count
 
 
 def leave_one_out_medians(df: DataFrame, author: str = "author_id", likes: str = "like_count") -> DataFrame:
-    """`df` with `loo_median` and `known`: the median of the author's other rows, and whether there were enough."""
-    medians = loo_table(df, author, likes).drop("n")
+    """`df` with `loo_median` and `known`: the median of the author's other rows, and whether there were enough.
+
+    Rows meet their median by (author, likes) and one of SALTS numbers, so an author's many rows with one count spread out.
+    """
+    medians = loo_table(df, author, likes).drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = df.withColumns(
         {
             "_author": F.coalesce(F.col(author).cast("string"), F.lit("None")),
             "_likes": F.coalesce(F.col(likes), F.lit(0)),
+            "_salt": F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"),
         }
     )
-    matched = (F.col("_author") == medians["author"]) & (F.col("_likes") == medians["likes"])
+    matched = (F.col("_author") == medians["author"]) & (F.col("_likes") == medians["likes"]) & (F.col("_salt") == medians["salt"])
     return keyed.join(medians, matched).select(*[keyed[c] for c in df.columns], "loo_median", "known")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spreadlens.functions.messages import ordinal, pasted_text, rule_route
 
@@ -13,7 +14,7 @@ def route_messages(turns: DataFrame) -> DataFrame:
 
     Memory only ever switches on: a conversation has drafts after its first draft, and a post after its first
     shipping that followed one. Before a post, `learn` is off, so both switches come from the stateless routes
-    by two minima per conversation; no conversation is replayed or gathered.
+    by two minima per conversation, windows over one shuffle of turns that are routed once.
     """
     routed = turns.select(
         "conv_id",
@@ -22,13 +23,11 @@ def route_messages(turns: DataFrame) -> DataFrame:
         rule_route(F.col("text"), learn=False).alias("before_post"),
         rule_route(F.col("text"), learn=True).alias("after_post"),
     )
-    drafted = routed.groupBy("conv_id").agg(F.min(F.when(F.col("before_post") == "draft", F.col("turn"))).alias("drafted"))
-    with_draft = routed.join(drafted, "conv_id")
+    of_conversation = Window.partitionBy("conv_id")
+    drafted = F.min(F.when(F.col("before_post") == "draft", F.col("turn"))).over(of_conversation)
     ships = (F.col("before_post") == "ship") & (F.col("turn") > F.col("drafted"))
-    posted = with_draft.groupBy("conv_id").agg(
-        F.first("drafted").alias("drafted"), F.min(F.when(ships, F.col("turn"))).alias("posted")
-    )
-    known = routed.join(posted, "conv_id")
+    posted = F.min(F.when(ships, F.col("turn"))).over(of_conversation)
+    known = routed.withColumn("drafted", drafted).withColumn("posted", posted)
     has_post = F.coalesce(F.col("turn") > F.col("posted"), F.lit(False))
     has_draft = F.coalesce(F.col("turn") > F.col("drafted"), F.lit(False))
     tool = F.when(has_post, F.col("after_post")).otherwise(F.col("before_post"))

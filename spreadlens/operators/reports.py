@@ -45,13 +45,15 @@ def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     rows = rows.where("score is not null and label is not null")
     below = ranked_values(rows, ["all"], "score").select("score", "n", "below")
     positives = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"))
-    middle = F.col("below") * 2 + F.col("n") + 1  # twice the average rank
+    # Twice the average rank; sums of ranks pass the range of a long from some three billion rows.
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    middle = big("below") * 2 + F.col("n") + 1
     joined = below.join(positives, "score").agg(
-        F.sum(F.col("pos") * middle).alias("twice_ranks"), F.sum("pos").alias("p"), F.sum("n").alias("total")
+        F.sum((F.col("pos") * middle).cast("decimal(38,0)")).alias("twice_ranks"), F.sum("pos").alias("p"), F.sum("n").alias("total")
     )
     p, q = F.col("p"), F.col("total") - F.col("p")
     return joined.select(
-        F.when((p > 0) & (q > 0), (F.col("twice_ranks") - p * (p + 1)) / (2.0 * p * q)).alias("auc"),
+        F.when((p > 0) & (q > 0), (F.col("twice_ranks") - (big("p") * (p + 1)).cast("decimal(38,0)")).cast("double") / (2.0 * p * q)).alias("auc"),
         p.alias("positives"),
         q.alias("negatives"),
     )

@@ -490,23 +490,17 @@ def feature_matrix(spark, d):
 # ---- forecast, learning --------------------------------------------------------------------------
 
 
-# One fit serves the three forecast queries of a session.
-_FITS: dict[tuple[str, str], tuple[forecast.Forecaster, DataFrame]] = {}
-
-
 def _fitted(spark: SparkSession, d: str) -> tuple[forecast.Forecaster, DataFrame]:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FITS:
-        split = stored(sampling.split_by_id(views.posts(spark, d)), "split")
-        train = split.where("not holdout").drop("holdout")
-        fitted = forecast.fit(train, dim=DIM, rounds=ROUNDS, rounds_1h=ROUNDS)
-        _FITS[key] = fitted, split.where("holdout").drop("holdout")
-    return _FITS[key]
+    """A model of four fifths of the posts, and the log of the other fifth."""
+    split = stored(sampling.split_by_id(views.posts(spark, d)), "split")
+    fitted = forecast.fit(split.where("not holdout").drop("holdout"), dim=DIM, rounds=ROUNDS, rounds_1h=ROUNDS)
+    return fitted, split.where("holdout").drop("holdout")
 
 
-def _score_inputs(posts: DataFrame) -> DataFrame:
+def _score_inputs(posts: DataFrame, log: DataFrame) -> DataFrame:
+    """What a forecast of `posts` needs; the authors' history comes from the whole log."""
     final = snapshots.latest(posts)
-    history = baselines.author_baselines(posts).select(F.col("author").alias("author_id"), "median_likes", F.col("posts").alias("history"))
+    history = baselines.author_baselines(log).select(F.col("author").alias("author_id"), "median_likes", F.col("posts").alias("history"))
     return final.join(history, "author_id", "left").select(
         "id",
         F.col("body").alias("text"),
@@ -521,13 +515,13 @@ def _score_inputs(posts: DataFrame) -> DataFrame:
 @named("forecast")
 def forecast_posts(spark, d):
     fitted, holdout = _fitted(spark, d)
-    return fitted.predict(_score_inputs(holdout)).select("id", "likes_1d", "likes_1h", "relative_to_median")
+    return fitted.predict(_score_inputs(holdout, views.posts(spark, d))).select("id", "likes_1d", "likes_1h", "relative_to_median", "error")
 
 
 @query
 def forecast_drivers(spark, d):
     fitted, holdout = _fitted(spark, d)
-    found = fitted.predict(_score_inputs(holdout)).select("id", F.posexplode("drivers").alias("position", "driver"))
+    found = fitted.predict(_score_inputs(holdout, views.posts(spark, d))).select("id", F.posexplode("drivers").alias("position", "driver"))
     return found.select("id", "position", "driver.*")
 
 
@@ -547,7 +541,7 @@ def median_baseline_error(spark, d):
 @query
 def anchored_forecast(spark, d):
     """The forecast arithmetic over given logs: every author's median, and logs made from the post's own counts."""
-    inputs = _score_inputs(views.posts(spark, d)).join(
+    inputs = _score_inputs(views.posts(spark, d), views.posts(spark, d)).join(
         snapshots.latest(views.posts(spark, d)).select("id", "retweet_count", "reply_count", "views_count"), "id"
     )
     log_1h = F.when(F.col("views_count") > 2, F.log1p(F.col("reply_count").cast("double")))
@@ -607,7 +601,7 @@ def _intents(posts: DataFrame) -> DataFrame:
 @query
 def retrieve_exemplars(spark, d):
     posts = _by_source(spark, d)
-    df = drafting.retrieve_exemplars(posts, _intents(posts), 5)
+    df = drafting.retrieve_exemplars(posts, _intents(posts), 5).where("error is null").drop("error")
     return df.select("author", "id", "similarity", F.col("position").cast("bigint").alias("position"))
 
 
@@ -679,8 +673,8 @@ def turing_test(spark, d):
 
 @query
 def captions(spark, d):
-    timed = media.timed_words(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
-    return media.captions(timed).select("id", "caption", "text", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+    made = media.captions(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    return made.select("id", "caption", "text", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
 
 
 @query
@@ -690,11 +684,10 @@ def clip_seconds(spark, d):
 
 @query
 def chars_to_words(spark, d):
-    text = _documents(spark, d).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "")).alias("pos", "char"))
-    timed = text.where("char <> ''").select(
-        "id", "pos", "char", F.round(F.col("pos") * 0.1, 3).alias("start_s"), F.round((F.col("pos") + 1) * 0.1, 3).alias("end_s")
-    )
-    return media.chars_to_words(timed).select("id", "word", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+    chars = F.filter(F.split("text", ""), lambda x: x != "")
+    timed = F.transform(chars, lambda x, i: F.struct(x.alias("char"), F.round(i * 0.1, 3).alias("start_s"), F.round((i + 1) * 0.1, 3).alias("end_s")))
+    found = media.chars_to_words(_documents(spark, d).select(F.col("doc_id").alias("id"), timed.alias("chars")))
+    return found.select("id", "word", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
 
 
 @query

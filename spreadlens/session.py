@@ -24,12 +24,21 @@ def build_session(app: str = "spreadlens", cores: int | str = "*", shuffle_parti
     )
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where the session names none."""
+    """The cluster's shared folder; a fresh local one only on a local master, where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spreadlens-")
+        folder = context.getCheckpointDir()
+    if folder is None:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spreadlens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -44,10 +44,10 @@ def with_file_index(raw: DataFrame, start: str) -> DataFrame:
     return raw.withColumn("file_index", F.floor(seconds / 3600).cast("bigint"))
 
 
-def scan_hour_range(indexed: DataFrame, first: int, last: int) -> DataFrame:
-    """Hour files `first` to `last`, inclusive; a partition filter where the table is partitioned by them."""
-    if not 0 <= first <= last < HOUR_FILES:
-        raise ValueError(f"hours must satisfy 0 <= first <= last < {HOUR_FILES}")
+def scan_hour_range(indexed: DataFrame, first: int, last: int, hours: int = HOUR_FILES) -> DataFrame:
+    """Hour files `first` to `last`, inclusive, of a layer of `hours`; a partition filter where the table is partitioned by them."""
+    if not 0 <= first <= last < hours:
+        raise ValueError(f"hours must satisfy 0 <= first <= last < {hours}")
     return indexed.where(F.col("file_index").between(first, last))
 
 
@@ -61,8 +61,8 @@ def latest_window(indexed: DataFrame, hours: int) -> DataFrame:
 
 
 def scan_accounts(accounts: DataFrame, handles: Sequence[str] | None = None) -> DataFrame:
-    present = [c for c in ACCOUNT_COLUMNS if c in accounts.columns]
-    chosen = accounts.select(*present)
+    """The fifteen account columns; a table that lacks one is refused."""
+    chosen = require_columns(accounts, ACCOUNT_COLUMNS).select(*ACCOUNT_COLUMNS)
     if handles:
         chosen = chosen.where(F.lower("author_handle").isin(*[h.lower() for h in handles]))
     return chosen

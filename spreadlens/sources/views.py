@@ -9,10 +9,6 @@ from spreadlens.session import spread
 from spreadlens.sources.readers import scan_posts
 
 
-# Texts up to this many characters in all are sent to every executor; beyond it both sides are shuffled.
-BROADCAST_CHARS = 64_000_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; zone-less timestamps are read as session-zone timestamps."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -23,11 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _posts_from(spark: SparkSession, sf_dir: str, doc_key: str) -> DataFrame:
     """Events as posts, one to three observations each; `doc_key` picks each post's document among `n`."""
     documents = table(spark, sf_dir, "documents")
-    size = documents.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).first()
+    n = documents.count()
     # Spread the narrow events, not the texts they are about to meet.
-    events = spread(table(spark, sf_dir, "events"), "event_id").withColumn("doc_key", F.expr(doc_key.format(n=size["n"])))
-    if (size["chars"] or 0) <= BROADCAST_CHARS:
-        documents = F.broadcast(documents)
+    events = spread(table(spark, sf_dir, "events"), "event_id").withColumn("doc_key", F.expr(doc_key.format(n=n)))
     observed = events.join(documents, F.col("doc_key") == F.col("doc_id")).withColumn(
         "s", F.explode(F.expr("sequence(0, cast(event_id % 3 as int))"))
     )
@@ -104,6 +98,13 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when o_orderkey % 23 = 0 then null else cast(floor(o_totalprice) as bigint) end as like_count",
         """case o_orderkey % 10 when 0 then '77' when 1 then null when 2 then '' else '0' end
              as in_reply_to_tweet_id""",
+        "c_name as person",
+        "c_mktsegment as party",
+        "cast(floor(c_acctbal) as bigint) as author_followers",
+        "case when o_orderkey % 3 = 0 then 'en' else 'de' end as lang",
+        "o_orderkey % 7 as retweet_count",
+        "o_orderkey % 5 as reply_count",
+        "case when o_orderkey % 11 = 0 then null else o_orderkey % 1000 end as view_count",
     )
 
 

@@ -192,3 +192,12 @@ def test_routing_with_memory(spark):
     rows = dialogue.route_messages(turns).orderBy("turn").collect()
     assert [r.tool for r in rows] == [tool for _, tool in said]
     assert [rows[i]["index"] for i in (4, 6, 7)] == [3, 3, 2]
+
+
+def test_intents_that_cannot_be_answered_are_refused_in_their_rows(spark):
+    from spreadlens.operators import drafting
+
+    posts = spark.createDataFrame([("a", 1, "the new road opens"), ("a", 2, "tea at four")], "author string, id bigint, text string")
+    intents = spark.createDataFrame([("a", "x", "the road"), ("a", "y", " \t"), ("b", "z", "the road"), ("a", "n", None)], "author string, intent_id string, intent string")
+    rows = drafting.retrieve_exemplars(posts, intents, 1).collect()
+    assert {(r.intent_id, r.id, r.error) for r in rows} == {("x", 1, None), ("y", None, drafting.NO_INTENT), ("n", None, drafting.NO_INTENT), ("z", None, drafting.NO_POSTS)}

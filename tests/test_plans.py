@@ -30,3 +30,8 @@ def test_scan_prunes_and_pushes(spark, sf_dir):
 
 def test_latest_drops_rows_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(snapshots.latest(views.posts(spark, sf_dir)))
+
+
+@pytest.mark.parametrize("name", ["captions", "chars_to_words"])
+def test_in_row_operators_shuffle_nothing(spark, sf_dir, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, sf_dir))

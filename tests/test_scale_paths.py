@@ -145,3 +145,30 @@ def test_codes_in_python_equal_those_of_the_jvm(spark):
         rows = [r.c for r in df.select(word_codes(F.col("w"), 64, (3, 5), hash_name).alias("c")).collect()]
         codes, ends = hashed_grams(names, 64, (3, 5), hash_name)
         assert rows == [codes[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def test_scratch_needs_a_shared_folder_off_a_local_master():
+    from types import SimpleNamespace
+
+    from spreadlens.session import shared_dir
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
+def test_hot_author_is_spread(spark):
+    """One author with most rows: every row gets the median of the author's others."""
+    from spreadlens.operators.baselines import leave_one_out_medians
+
+    rows = [(i, "hot", 0 if i % 3 else i) for i in range(600)] + [(1000 + i, f"a{i % 40}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, author_id string, like_count bigint")
+    got = leave_one_out_medians(df).collect()
+    assert len(got) == 1000
+    values = [r[2] for r in rows if r[1] == "hot"]
+    for r in got[:200]:
+        if r.author_id == "hot":
+            others = list(values)
+            others.remove(r.like_count)
+            assert r.loo_median == float(np.median(others))
