@@ -28,7 +28,17 @@ def timed_words(posts: DataFrame, wpm: int = WORDS_PER_MINUTE) -> DataFrame:
     )
 
 
-def captions(posts: DataFrame, wpm: int = WORDS_PER_MINUTE, per_caption: int = PER_CAPTION) -> DataFrame:
+def captions(timed: DataFrame, per_caption: int = PER_CAPTION) -> DataFrame:
+    """(id, caption, text, start_s, end_s) from words (id, pos, word, start_s, end_s) that were timed elsewhere."""
+    if per_caption < 1:
+        raise ValueError("per_caption must be at least 1")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
+    return timed.groupBy("id", F.floor(F.col("pos") / per_caption).alias("caption")).agg(
+        text.alias("text"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")
+    )
+
+
+def even_captions(posts: DataFrame, wpm: int = WORDS_PER_MINUTE, per_caption: int = PER_CAPTION) -> DataFrame:
     """(id, caption, text, start_s, end_s) for (id, text): consecutive spoken words in groups, each a handful of words.
 
     Captions are slices of the row's own words, so nothing is shuffled.

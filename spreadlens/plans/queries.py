@@ -673,7 +673,7 @@ def turing_test(spark, d):
 
 @query
 def captions(spark, d):
-    made = media.captions(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    made = media.even_captions(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
     return made.select("id", "caption", "text", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
 
 

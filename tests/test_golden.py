@@ -51,6 +51,7 @@ def test_captions(spark):
     rows = media.captions(timed).orderBy("caption").collect()
     assert [r.text for r in rows] == ["one two three four", "five six seven"]
     assert rows[0].start_s == 0.0 and rows[1].end_s == 3.5
+    assert media.even_captions(posts, wpm=120).orderBy("caption").collect() == rows
 
 
 def test_verdict(spark):
