@@ -7,7 +7,7 @@ A vector travels as `(id, vec, sq)`: `vec` packs the whole-number gram weights a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -89,6 +89,10 @@ def hash_vectors(
     return coded.mapInArrow(add_up, T.StructType(fields))
 
 
+# (df, id column, text column) to (id, vec, sq): the hashed grams, or a model's vectors by way of `pack_arrays`.
+Embed = Callable[[DataFrame, str, str], DataFrame]
+
+
 def fixed_binary(rows: np.ndarray) -> pa.Array:
     """The bytes of each row of a matrix."""
     width = rows.shape[1] * rows.dtype.itemsize
@@ -277,7 +281,7 @@ def fold_members(pairs: DataFrame) -> DataFrame:
 MATCH_THRESHOLD = 0.55
 
 
-def match_templates(posts: DataFrame, templates: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def match_templates(posts: DataFrame, templates: DataFrame, threshold: float = MATCH_THRESHOLD, embed: Embed = hash_vectors) -> DataFrame:
     """(id, template_id, similarity) for posts (id, normalised) against templates (id, normalised).
 
     An equal normalised text is a match of 1. Otherwise the most similar template counts from `threshold`
@@ -290,7 +294,7 @@ def match_templates(posts: DataFrame, templates: DataFrame, threshold: float = M
     exact = keyed.where("template_id is not null").select("id", "template_id", F.lit(1.0).alias("similarity"))
     # Copies of one text share a best template, so each distinct text is compared once.
     texts = keyed.where("template_id is null").groupBy("digest").agg(F.min("normalised").alias("normalised"))
-    best = nearest(hash_vectors(texts, "digest", "normalised"), hash_vectors(templates, "id", "normalised"), k=1)
+    best = nearest(embed(texts, "digest", "normalised"), embed(templates, "id", "normalised"), k=1)
     best = best.select(F.col("query_id").alias("digest"), "item_id", "similarity")
     near = (
         keyed.where("template_id is null")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from spreadlens.functions.text import normalise
 from spreadlens.functions.verdict import MARKERS, verdict
-from spreadlens.operators.similarity import fold_members, hash_vectors, linked_pairs
+from spreadlens.operators.similarity import Embed, fold_members, hash_vectors, linked_pairs
 from spreadlens.operators.snapshots import latest
 from spreadlens.schemas import VIDEO_COLUMNS, require_columns
 from spreadlens.session import stored
@@ -157,6 +157,7 @@ class Mined:
         threshold: float = FOLD_THRESHOLD,
         bucket: str = "hour",
         fold_before_filter: bool = False,
+        embed: Embed = hash_vectors,
     ) -> None:
         if min_authors < 2:
             raise ValueError("min_authors must be at least 2; one author is a post, not a template")
@@ -172,10 +173,10 @@ class Mined:
         )
         self.firsts = stored(first_posts(kept).select("key", "id", "version", *ties, "position"), "firsts")
         self.texts = stored(template_texts(posts, self.firsts, ties), "texts")
-        self.members = self._members(threshold)
+        self.members = self._members(threshold, embed)
         self.min_authors = min_authors
 
-    def _members(self, threshold: float) -> DataFrame:
+    def _members(self, threshold: float, embed: Embed) -> DataFrame:
         """(key, root): every key with the largest key of its near-copy component."""
         # Most accounts first, then most posts, then the digest, as one string that sorts that way.
         big = 10**12
@@ -184,7 +185,7 @@ class Mined:
             F.lpad((F.lit(big) - F.col("posts")).cast("string"), 13, "0"),
             F.col("key"),
         )
-        vectors = hash_vectors(self.texts.join(self.groups.select("key", rank.alias("rank")), "key"), "rank", "normalised")
+        vectors = embed(self.texts.join(self.groups.select("key", rank.alias("rank")), "key"), "rank", "normalised")
         components = fold_members(linked_pairs(vectors, "rank", threshold, forest=True))
         digest = lambda c: F.substring(c, 27, 32)
         moved = components.select(digest("node").alias("key"), digest("root").alias("root"))
@@ -255,9 +256,10 @@ def listen(
     markers: Sequence[str] = MARKERS,
     curve_mode: str = "sum",
     fold_before_filter: bool = False,
+    embed: Embed = hash_vectors,
 ) -> DataFrame:
     """The feed: templates with near copies folded, most replicated first, each with its curve and verdict."""
-    mined = Mined(posts, min_authors, min_chars, ties, threshold, fold_before_filter=fold_before_filter)
+    mined = Mined(posts, min_authors, min_chars, ties, threshold, fold_before_filter=fold_before_filter, embed=embed)
     # A feed is short by definition, so what follows joins at most `max_templates` rows.
     top = mined.folded().orderBy(F.desc("authors"), F.desc("posts"), "root").limit(max_templates)
     curves = curve_arrays(mined.folded_cells(exact=curve_mode == "exact"), "root")

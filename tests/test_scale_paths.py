@@ -172,3 +172,20 @@ def test_hot_author_is_spread(spark):
             others = list(values)
             others.remove(r.like_count)
             assert r.loo_median == float(np.median(others))
+
+
+def test_own_embedder(spark):
+    """Vectors of a caller's own model take the hashed grams' place."""
+    from spreadlens.operators import drafting
+
+    def first_letter(df, id_col, text_col):
+        letters = F.array(*[F.when(F.col(text_col).startswith(x), 1.0).otherwise(0.0).cast("float") for x in "abc"])
+        return similarity.pack_arrays(df.select(F.col(id_col).alias("id"), letters.alias("v")), "id", "v")
+
+    posts = spark.createDataFrame([(1, "apple"), (2, "berry"), (3, "cherry")], "id bigint, normalised string")
+    items = spark.createDataFrame([("x", "bond"), ("y", "axe")], "id string, normalised string")
+    got = {r.id: r.template_id for r in similarity.match_templates(posts, items, embed=first_letter).collect()}
+    assert got == {1: "y", 2: "x", 3: None}
+    own = spark.createDataFrame([("a", 1, "axe"), ("a", 2, "bond")], "author string, id bigint, text string")
+    intents = spark.createDataFrame([("a", "i", "berry")], "author string, intent_id string, intent string")
+    assert [r.id for r in drafting.retrieve_exemplars(own, intents, 1, embed=first_letter).collect()] == [2]
