@@ -56,6 +56,17 @@ def poll_points(reads: DataFrame, max_reads: int = MAX_READS) -> DataFrame:
     return kept.select("id", "read", F.round(elapsed, 2).alias("minutes"), "likes")
 
 
+def poll_window(points: DataFrame, minutes: float) -> DataFrame:
+    """The polled points (id, read, minutes, likes) up to `minutes` after posting; a post without any has its last read instead.
+
+    A post has at most as many points as reads are allowed, so its window is small.
+    """
+    of_post = Window.partitionBy("id")
+    inside = F.coalesce(F.col("minutes") <= minutes, F.lit(False))
+    marked = points.withColumns({"_inside": inside, "_any": F.max(inside).over(of_post), "_last": F.col("read") == F.max("read").over(of_post)})
+    return marked.where(F.col("_inside") | (~F.col("_any") & F.col("_last"))).select(*points.columns)
+
+
 def best_candidate(candidates: DataFrame) -> DataFrame:
     """Per request the candidate with the highest forecast, the first one on ties."""
     best = F.max(F.struct(F.col("likes_1d"), (-F.col("ordinal")).alias("back"))).alias("best")

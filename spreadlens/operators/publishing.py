@@ -22,8 +22,33 @@ def post_cost(text):
     return F.when(text.contains("http"), F.lit(COST_WITH_LINK)).otherwise(F.lit(COST_PLAIN)).cast("bigint")
 
 
+# Why a valid post isn't published.
+OVER_BUDGET = "posting would cross the budget"
+
+
+def publish_queue(posts: DataFrame, budget: int) -> DataFrame:
+    """(id, author_id, cost, admitted, spent, reason) for (id, author_id, created_at, text): checked, priced, then admitted.
+
+    A post that can't be published is refused before it is priced and spends nothing. `spent` is what its author has
+    spent with an admitted post, the ledger's running figure; an author has at most budget / price of those.
+    """
+    checked = posts.select("id", "author_id", "created_at", validated(F.col("text")).alias("v"))
+    priced = _admitted(checked.where("v.ok").select("id", "author_id", "created_at", F.col("v.cleaned").alias("text")), budget)
+    ledger = Window.partitionBy("author_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    none = F.lit(None).cast("bigint")
+    paid = priced.where("admitted").select("id", "author_id", "cost", "admitted", F.sum("cost").over(ledger).alias("spent"), F.lit(None).cast("string").alias("reason"))
+    refused = priced.where("not admitted").select("id", "author_id", "cost", "admitted", none.alias("spent"), F.lit(OVER_BUDGET).alias("reason"))
+    invalid = checked.where("not v.ok").select("id", "author_id", none.alias("cost"), F.lit(False).alias("admitted"), none.alias("spent"), F.col("v.reason").alias("reason"))
+    return paid.unionByName(refused).unionByName(invalid)
+
+
 def budget_admission(posts: DataFrame, budget: int) -> DataFrame:
-    """(id, author_id, cost, admitted) for (id, author_id, created_at, text): each author's queue, in order.
+    """(id, author_id, cost, admitted) for (id, author_id, created_at, text): each author's queue, in order."""
+    return _admitted(posts, budget).drop("created_at")
+
+
+def _admitted(posts: DataFrame, budget: int) -> DataFrame:
+    """(id, author_id, created_at, cost, admitted).
 
     A post is admitted if what is spent plus its cost stays within `budget`; a refusal spends nothing. Spending
     only grows, so once a price is refused it stays refused: at each price the admitted posts are the first few,
@@ -55,5 +80,5 @@ def budget_admission(posts: DataFrame, budget: int) -> DataFrame:
     here = F.struct(F.col("created_at"), F.col("id"))
     limit = F.when(F.col("cost") == COST_PLAIN, F.col("last.plain")).otherwise(F.col("last.linked"))
     return priced.join(last, "author_id").select(
-        "id", "author_id", "cost", F.coalesce(here <= limit, F.lit(False)).alias("admitted")
+        "id", "author_id", "created_at", "cost", F.coalesce(here <= limit, F.lit(False)).alias("admitted")
     )

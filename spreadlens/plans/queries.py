@@ -570,6 +570,11 @@ def poll_points(spark, d):
     return learn.poll_points(reads.withColumnRenamed("author_id", "id"))
 
 
+@query
+def poll_window(spark, d):
+    return learn.poll_window(poll_points(spark, d), 3 * 1440.0)
+
+
 @query
 def best_candidate(spark, d):
     lines = views.table(spark, d, "lineitem").select(
@@ -696,6 +701,14 @@ def budget_admission(spark, d):
     return publishing.budget_admission(queue, 500)
 
 
+@query
+def publish_queue(spark, d):
+    """Posts cut to lengths from nothing to more than may be published."""
+    text = F.expr("left(body, cast(cast(id as bigint) % 400 as int))")
+    queue = snapshots.latest(views.posts(spark, d)).select("id", "author_id", "created_at", text.alias("text"))
+    return publishing.publish_queue(queue, 500)
+
+
 @query
 def route_messages(spark, d):
     return dialogue.route_messages(_user_turns(spark, d))
