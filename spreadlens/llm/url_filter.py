@@ -88,20 +88,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 def _open_at(ruled: DataFrame, bounds: list[str]) -> dict[int, list[tuple]]:
     """For each range, the rules that began before its bound and whose keys are prefixes of it, shortest first.
 
-    One row per prefix of a bound is joined: the number of ranges times the length of a key.
+    The distinct prefixes of all bounds are joined to the rules: at most the number of ranges times the length of a key.
     """
     if not bounds:
         return {}
-    spark = ruled.sparkSession
-    keys = [(i + 1, b.split("\x00")[0], b) for i, b in enumerate(bounds)]
-    prefixes = spark.createDataFrame(keys, "range int, key string, at string").select(
-        "range", "at", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("key")
-    )
-    found = prefixes.join(ruled, "key").where(F.concat("key", F.lit("\x000")) < F.col("at"))
-    out: dict[int, list[tuple]] = {}
-    for r in found.select("range", "key", "rule", "host_chars", "verdict").collect():
-        out.setdefault(r["range"], []).append((r["key"], r["rule"], r["host_chars"], r["verdict"]))
-    return {k: sorted(v, key=lambda x: len(x[0])) for k, v in out.items()}
+    keys = ruled.sparkSession.createDataFrame([(b.split("\x00")[0],) for b in bounds], "bound string")
+    prefix = F.transform(F.sequence(F.lit(1), F.length("bound")), lambda n: F.substring(F.col("bound"), F.lit(1), n))
+    prefixes = keys.where("bound <> ''").select(F.explode(prefix).alias("key")).distinct()
+    found = {r["key"]: (r["key"], r["rule"], r["host_chars"], r["verdict"]) for r in ruled.join(prefixes, "key", "left_semi").collect()}
+    out = {}
+    for n, bound in enumerate(bounds, 1):
+        key = bound.split("\x00")[0]
+        nested = [found[key[:k]] for k in range(1, len(key) + 1) if key[:k] in found]
+        out[n] = [r for r in nested if (r[0] + "\x000").encode() < bound.encode()]
+    return out
 
 
 def _sweep(carried: dict[int, list[tuple]]):
