@@ -65,9 +65,9 @@ def _repeat_words(words: Column) -> Column:
     return F.coalesce(c.let(F.array_sort(windows), lambda w: c.let(places(w), covered)), F.lit(0)).cast("long")
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with a struct column `_m` of the measures and base_failed."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measures_of(text: Column) -> Column:
+    """A struct of the measures and base_failed, evaluated once per text."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(c.WORD))
 
     def measures(w: Column) -> Column:
@@ -79,9 +79,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         )
 
-    out = df.withColumn("_m", c.let(c.words(F.col(text)), measures))
-    failed = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    return out.withColumn("_m", F.col("_m").withField("base_failed", failed))
+    failed = lambda m: (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return c.let(c.let(c.words(text), measures), lambda m: m.withField("base_failed", failed(m)))
 
 
 def _passes(rule: str, cutoff: Column, measure) -> Column:
@@ -135,30 +134,40 @@ def certified_cutoffs(
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
-def judged(df: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """`df` with measures as `_m`, plus `_kept`. `cutoffs` has one row per stratum and is read from a written table, so Spark
-    knows its size and broadcasts it only below its threshold."""
-    rejected = F.lit(False)
+def passes_rules(m: Column, cutoffs: Column) -> Column:
+    """Whether a text with these measures passes the base rules and its stratum's cutoffs."""
+    rejected = m["base_failed"]
     for rule in RULES:
-        cut = F.element_at("_cutoffs", F.lit(rule))
-        rejected = rejected | F.coalesce(_passes(rule, cut, lambda m: F.col(f"_m.{m}")), F.lit(False))
+        hit = _passes(rule, F.element_at(cutoffs, F.lit(rule)), lambda name: m[name])
+        rejected = rejected | F.coalesce(hit, F.lit(False))
+    return ~rejected
+
+
+def _with_cutoffs(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """`df` with its stratum's `_cutoffs`. They are read from a written table of one row per stratum, so Spark knows its size and
+    broadcasts it only below its threshold."""
     known = cutoffs.select(F.col("stratum").alias("_of"), F.col("cutoffs").alias("_cutoffs"))
-    joined = df.join(known, F.col(stratum) == F.col("_of"), "left")
-    return joined.withColumn("_kept", ~F.col("_m.base_failed") & ~rejected).drop("_of", "_cutoffs")
+    return df.join(known, F.col("stratum") == F.col("_of"), "left").drop("_of")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), measures_of(F.col("text")).alias("_m"))
+    return stored(rows, "measures")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """One row per document (doc_id, text, lang): doc_id, measures, base_failed, kept."""
-    base = stored(measured(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))).drop("text"), "measures")
+    base = _measured(docs)
     cuts = stored(certified_cutoffs(base, labels, risk=risk, alpha=alpha), "cutoffs")
-    return judged(base, cuts).select("doc_id", *(f"_m.{m}" for m in MEASURES), "_m.base_failed", F.col("_kept").alias("kept"))
+    kept = passes_rules(F.col("_m"), F.col("_cutoffs"))
+    return _with_cutoffs(base, cuts).select("doc_id", *(f"_m.{m}" for m in MEASURES), "_m.base_failed", kept.alias("kept"))
 
 
 def passing_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """The documents that the rules keep, with exactly their columns. Measures are taken twice, for the cutoffs and for the
     verdict, since carrying them would write or shuffle every text."""
-    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
-    base = stored(measured(docs.select("doc_id", "text", stratum)).drop("text"), "measures")
-    cuts = stored(certified_cutoffs(base, labels, risk=risk, alpha=alpha), "cutoffs")
-    packed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("_doc"), stratum, F.col("text"))
-    return judged(measured(packed), cuts).where("_kept").select("_doc.*")
+    cuts = stored(certified_cutoffs(_measured(docs), labels, risk=risk, alpha=alpha), "cutoffs")
+    packed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("_doc"), F.coalesce("lang", F.lit("")).alias("stratum"), "text")
+    # One expression from text to verdict: as columns of their own, the measures would be evaluated at every mention.
+    kept = c.let(measures_of(F.col("text")), lambda m: passes_rules(m, F.col("_cutoffs")))
+    return _with_cutoffs(packed, cuts).where(kept).select("_doc.*")
