@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlens.llm.token_files import ragged_take
-from spreadlens.llm.tokens import U64, mix
+from spreadlens.llm.tokens import U64
 
-MARK, CACHED_UNITS, ROWS = "▁", 500_000, 4096
-_BASE = U64(0x9E3779B97F4A7C15)
+MARK, CACHED_UNITS, ROWS = "▁", 350_000, 1 << 17
+_BASE, _OF_LENGTH = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+# A bitmap of the keys' hashes stands before the search: most substrings are no piece.
+_BITS = 20
 
 
 class Pieces:
@@ -62,33 +64,51 @@ class Pieces:
         scores = np.array(scores)
         self.longest = max(map(len, text), default=1)
         self.power = np.cumprod(np.concatenate([np.ones(1, U64), np.full(self.longest, _BASE)]), dtype=U64)
-        points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in text]
-        keys = np.array([self.hash_of(p) for p in points], U64)
+        self.of_length = np.arange(self.longest + 1, dtype=U64) * _OF_LENGTH
+        length = np.array([len(t) for t in text], np.int64)
+        points = np.zeros((len(text), self.longest), np.uint32)
+        for row, t in enumerate(text):
+            points[row, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        plain = np.zeros(len(text), U64)
+        for k in range(self.longest):
+            inside = length > k
+            plain[inside] = plain[inside] * _BASE + points[inside, k].astype(U64) + U64(1)
+        keys = plain + self.of_length[length]
         order = np.argsort(keys)
         self.keys, self.scores, self.ids = keys[order], scores[order], np.array(ids, np.uint32)[order]
-        self.points = np.zeros((len(text), self.longest), np.uint32)
-        for row, i in enumerate(order):
-            self.points[row, : len(points[i])] = points[i]
+        self.points, self.plain, self.length = points[order], plain[order], length[order]
         # Integer scores down from zero are merge ranks.
         self.merges = bool(len(scores)) and bool(np.all(scores == np.round(scores)) and np.all(scores <= 0))
         if self.merges:
             self._undo([text[i] for i in order])
+        self.maybe = np.zeros(1 << _BITS, bool)
+        self.maybe[self._slot(self.keys)] = True
+        singles = [(int(self.points[i, 0]), i) for i, t in enumerate(order) if len(text[t]) == 1]
+        self.single = np.full(0x110000, -1, np.int32)
+        for point, i in singles:
+            self.single[point] = i
         self.fallback = (scores.min() if len(scores) else 0.0) - 10
         inside = {ch for t in text if len(t) > 1 for ch in t}
-        # Spaces begin a unit; these are in no longer piece and stand alone.
+        follows = {(x, y) for t in text for x, y in zip(t, t[1:])}
+        # Spaces begin a unit; some characters are in no longer piece and stand alone; some signs never follow another
+        # character than a sign in a piece, so a unit ends before them.
         alone = "".join(ch for ch in "\t\n\r\x0b\x0c" if ch not in inside)
-        joined = any(MARK in t.lstrip(MARK) for t in text)
-        pattern = f"[{alone}]|[^{alone}]+" if joined and alone else f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+"
-        self.units = re.compile(pattern if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        signs = ".,;:!?"
+        signs = "".join(y for y in signs if not any(b == y and a not in signs + MARK for a, b in follows))
+        if any(MARK in t.lstrip(MARK) for t in text):
+            pattern = f"[{alone}]|[^{alone}]+" if alone else "(?s).+"
+        else:
+            stop = MARK + alone + signs
+            pattern = "|".join(x for x in (f"[{alone}]" if alone else "", f"{MARK}*[{signs}]+[^{stop}]*" if signs else "", f"{MARK}*[^{stop}]+", f"{MARK}+") if x)
+        self.units = re.compile(pattern)
 
     def _undo(self, text: list[str]) -> None:
         """When each piece is made (0: a character), of which two pieces, and whether merging makes it at all."""
         place = {t: i for i, t in enumerate(text)}
-        length = np.array([len(t) for t in text])
-        self.place, self.length = place, length
+        length = self.length
+        self.place = place
         ranked = np.unique(-self.scores[length > 1])
         self.time = np.where(length > 1, 1 + np.searchsorted(ranked, -self.scores), 0)
-        self.plain = np.array([self.hash_of(np.frombuffer(t.encode("utf-32-le"), np.uint32), final=False) for t in text], U64)
         self.left, self.right = np.arange(len(text)), np.arange(len(text))
         self.made = np.ones(len(text), bool)
         for t, i in place.items():
@@ -115,47 +135,60 @@ class Pieces:
 
     def allowed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merging leaves the border between the two pieces (places; -1: no piece) alone."""
-        good = np.ones(len(first), bool)
-        live = np.flatnonzero((first >= 0) & (second >= 0))
-        a, b = first[live].copy(), second[live].copy()
+        pairs, inverse = np.unique((first + 1) * (len(self.keys) + 1) + second + 1, return_inverse=True)
+        a, b = pairs // (len(self.keys) + 1) - 1, pairs % (len(self.keys) + 1) - 1
+        good = np.ones(len(pairs), bool)
+        live = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = a[live], b[live]
         limit = np.full(len(live), np.iinfo(np.int64).max)
         while len(live):
-            size = self.length[a] + self.length[b]
-            key = mix(self.plain[a] * self.power[np.minimum(self.length[b], self.longest)] + self.plain[b] + size.astype(U64))
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            earlier = (self.keys[at] == key) & (self.time[at] < limit)
+            size = self.length[b]
+            whole = self.length[a] + size
+            at = self.find(self.plain[a] * self.power[size] + self.plain[b] + self.of_length[np.minimum(whole, self.longest)] + (whole > self.longest).astype(U64))
+            earlier = (at >= 0) & (self.time[at] < limit)
             good[live[earlier]] = False
             go = ~earlier & (np.maximum(self.time[a], self.time[b]) > 0)
             live, a, b = live[go], a[go], b[go]
             of_a = self.time[a] > self.time[b]
             limit = np.where(of_a, self.time[a], self.time[b] + 1)
             a, b = np.where(of_a, self.right[a], a), np.where(of_a, b, self.left[b])
-        return good
+        return good[inverse]
 
     @staticmethod
-    def hash_of(points: np.ndarray, final: bool = True) -> np.uint64:
-        h = np.zeros(1, U64)
-        for p in points:
-            h = h * _BASE + U64(p) + U64(1)
-        return (mix(h + U64(len(points))) if final else h)[0]
-
-    def segment(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit."""
-        out: list = [None] * len(units)
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * _BASE) >> U64(64 - _BITS)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys among the sorted ones, -1 where missing."""
+        out = np.full(len(keys), -1, np.int64)
+        some = np.flatnonzero(self.maybe[self._slot(keys)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == keys[some], at, -1)
+        return out
+
+    def segment(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the ids of all units one after another, in an order of its own, and the number of each."""
+        order: list[int] = []
+        flat, sizes = [], []
         by_length: dict[int, list[int]] = {}
         for i, unit in enumerate(units):
             if self.merges and unit.startswith(MARK * 2):
-                out[i] = self._ids_of(self.merged(unit)[0])
+                order.append(i)
+                flat.append(self._ids_of(self.merged(unit)[0]))
+                sizes.append(np.array([len(flat[-1])]))
             else:
                 by_length.setdefault(len(unit), []).append(i)
         for length, rows in by_length.items():
-            step = max(1, ROWS * 16 // length)
+            step = max(1, ROWS // length)
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
-                points = np.frombuffer("".join(units[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                for k, ids in zip(part, self._advance(points)):
-                    out[k] = ids
-        return out
+                points = np.frombuffer("".join([units[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+                ids, n = self._advance(points)
+                order += part
+                flat.append(ids)
+                sizes.append(n)
+        return order, np.concatenate([np.empty(0, np.uint32), *flat]), np.concatenate([np.empty(0, np.int64), *sizes])
 
     def _ids_of(self, parts: list[str]) -> np.ndarray:
         ids: list[int] = []
@@ -164,7 +197,8 @@ class Pieces:
             ids += [int(self.ids[at])] if at is not None else [int(self.byte_ids[x]) for x in part.encode("utf-8", "surrogatepass")]
         return np.array(ids, np.uint32)
 
-    def _advance(self, points: np.ndarray) -> list[np.ndarray]:
+    def _advance(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after another, number of each)."""
         rows, length = points.shape
         prefix = np.zeros((length + 1, rows), U64)
         for j in range(length):
@@ -175,41 +209,50 @@ class Pieces:
         best[0] = 0
         back = np.zeros((length + 1, rows), np.int32)
         piece = np.full((length + 1, rows), -1, np.int32)
+        known = self.single[points]
         for j in range(1, length + 1):
             for k in range(min(j, self.longest), 0, -1):
-                key = mix(prefix[j] - prefix[j - k] * self.power[k] + U64(k))
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                if hit.any():
-                    hit &= (self.points[at, :k] == points[:, j - k : j]).all(axis=1)
-                    known = hit.copy() if k == 1 else hit
-                    if self.merges:
-                        hit = known & self.made[at] & (best[j - k] > -np.inf)
-                        rows_hit = np.flatnonzero(hit)
-                        if j > k and len(rows_hit):
-                            hit[rows_hit] = self.allowed(piece[j - k][rows_hit], at[rows_hit])
-                else:
-                    known = hit
-                total = best[j - k] + np.where(hit, self.scores[at], -np.inf)
                 if k == 1:
-                    total = np.where(known, total, best[j - 1] + self.fallback * n_bytes[:, j - 1])
-                    at = np.where(known, at, -1)
-                better = total > best[j]
-                best[j] = np.where(better, total, best[j])
-                back[j] = np.where(better, k, back[j])
-                piece[j] = np.where(better, at, piece[j])
-        out = []
-        for r in range(rows):
-            ids, j = [], length
-            while j:
-                p = piece[j, r]
-                if p >= 0:
-                    ids.append(int(self.ids[p]))
+                    at = known[:, j - 1]
+                    who = np.arange(rows)
                 else:
-                    ids.extend(int(self.byte_ids[x]) for x in reversed(chr(points[r, j - 1]).encode("utf-8", "surrogatepass")))
-                j -= int(back[j, r])
-            out.append(np.array(ids[::-1], np.uint32))
-        return out
+                    at = self.find(prefix[j] - prefix[j - k] * self.power[k] + self.of_length[k])
+                    who = np.flatnonzero(at >= 0)
+                    if not len(who):
+                        continue
+                    at = at[who]
+                    same = (self.points[at, :k] == points[who, j - k : j]).all(axis=1)
+                    who, at = who[same], at[same]
+                before = best[j - k][who]
+                if self.merges:
+                    good = (before > -np.inf) & ((at < 0) | self.made[at])
+                    who, at, before = who[good], at[good], before[good]
+                    if j > k and len(who):
+                        good = self.allowed(piece[j - k][who], at)
+                        who, at, before = who[good], at[good], before[good]
+                total = before + (self.scores[at] if k > 1 else np.where(at >= 0, self.scores[at], self.fallback * n_bytes[who, j - 1]))
+                better = total > best[j][who]
+                who = who[better]
+                best[j][who], back[j][who], piece[j][who] = total[better], k, at[better]
+        # Back from the ends, all rows a piece at a time; ids fill a matrix from the right, so reading it by rows restores
+        # their order. A character without a piece takes as many places as it has bytes.
+        wide = length + int(np.where(known < 0, n_bytes - 1, 0).sum(axis=1).max(initial=0))
+        ids, used = np.zeros((rows, wide), np.uint32), np.zeros((rows, wide), bool)
+        at, column, live = np.full(rows, length), np.full(rows, wide - 1), np.arange(rows)
+        while len(live):
+            j = at[live]
+            p = piece[j, live]
+            whole = p >= 0
+            r = live[whole]
+            ids[r, column[r]], used[r, column[r]] = self.ids[p[whole]], True
+            column[r] -= 1
+            for r in live[~whole]:
+                for byte in reversed(chr(points[r, at[r] - 1]).encode("utf-8", "surrogatepass")):
+                    ids[r, column[r]], used[r, column[r]] = self.byte_ids[byte], True
+                    column[r] -= 1
+            at[live] = j - back[j, live]
+            live = live[at[live] > 0]
+        return ids[used], used.sum(axis=1)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before every text is dropped."""
@@ -227,7 +270,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.slots.clear()
-        self.ids, self.ends = np.empty(0, np.uint32), [0]
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ends with a leading zero)."""
@@ -243,15 +286,15 @@ class Encoder:
                     new[u] = None
         if new:
             names = list(new)
-            coded = self.pieces.segment(names)
-            for u, ids in zip(names, coded):
-                slots[u] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(ids))
-            self.ids = np.concatenate([self.ids, *coded])
+            order, ids, sizes = self.pieces.segment(names)
+            first = len(self.ends) - 1
+            slots.update((names[i], first + k) for k, i in enumerate(order))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
         for units in split:
             rows.extend(map(slots.__getitem__, units))
             counts.append(len(units))
-        flat, size = ragged_take(self.ids, np.array(self.ends), np.array(rows, np.int64))
+        flat, size = ragged_take(self.ids, self.ends, np.array(rows, np.int64))
         upto = np.concatenate([[0], np.cumsum(size)])
         return flat, upto[np.concatenate([[0], np.cumsum(counts)])]
 
@@ -272,8 +315,8 @@ def _coded(path: str, keep_ids: bool):
 
         encoder = encoder_of(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
+            for i in range(0, whole.num_rows, 1500):
+                batch = whole.slice(i, 1500)
                 texts = batch.column(1).to_pylist()
                 ids, ends = encoder.encode(texts)
                 crc, same = [], []

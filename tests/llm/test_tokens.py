@@ -135,6 +135,6 @@ def test_unigram_scores_give_the_best_sum(monkeypatch):
             if unit[j - 1] not in own.place:
                 tries.append(best[j - 1] + own.fallback * len(unit[j - 1].encode()))
             best[j] = max(tries)
-        ids = own.segment([unit])[0].tolist()
+        ids = own.segment([unit])[1].tolist()
         assert "".join(text_of.get(i, "") for i in ids) in unit
         assert abs(sum(score.get(i, own.fallback) for i in ids) - best[len(unit)]) < 1e-9
