@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from spreadlens.llm import common as c
 from spreadlens.llm.tokens import word_codes
 
-BLOCK_BITS, SEGMENT_IDS, CACHED_WORDS, JOINED = 512, 1 << 20, 500_000, 50
+BLOCK_BITS, SEGMENT_IDS, CACHED_WORDS, JOINED = 512, 1 << 20, 300_000, 50
 TAILED = "^(?P<body>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[.,;:!?]+)$"
 # Only words of these characters are joined: the library's normalising keeps their places.
 JOINABLE = re.compile("[!-~À-ÿ]+").fullmatch
@@ -192,8 +192,8 @@ def _encode(path: str, end_id: int, bounds: list[int]):
 
         encoder = encoder_of(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 3000):
-                batch = whole.slice(i, 3000)
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
                 codes, starts, words = word_codes(batch.column(1), lower=False)
                 body, tail = encoder.table(words)
                 flat, size = ragged_take(encoder.ids, encoder.ends, np.stack([body[codes], tail[codes]], axis=1).ravel())
