@@ -1,16 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A node is a context of up to `depth` words, read backwards from the word to predict. Candidates at each depth are contexts
-whose share of the training tokens reaches `context_share`, grown from the last depth's; a candidate stays if the count-weighted
-divergence of its next-word distribution from that of its suffix (the context without its oldest word) reaches `nats`, or
-if a longer context needs it. Next words whose share after a context reaches `pair_share` have counts; the distribution is
-smoothed by absolute discounting, what is discounted going to the suffix's distribution, down to the root, which is the
-add-one unigram distribution over all training words. A text's state is the longest suffix in the tree.
-
-The shares bound the tree whatever the corpus (at most 1 / share contexts or pairs for a depth), so it is held by
-the driver and sent to the tasks. The counts below it are exact and grow with the corpus: the lexicon of all words is a table,
-and words that are too rare for the tree take their unigram counts from it by a join in packed arrays, once for each word
-and batch of texts. Frequent words, which would make hot keys in that join, are in the tree by definition.
+A node is a context of up to `depth` words, read backwards from the word to predict. Every context that stands twice in the
+training texts is a candidate; it stays if the count-weighted divergence of its next-word distribution from that of its suffix
+(the context without its oldest word) reaches `nats`, or if a longer context needs it. Next words that follow a context twice have
+counts; the distribution is smoothed by absolute discounting, what is discounted going to the suffix's distribution, down to the
+root, which is the add-one unigram distribution over all training words. A text's state is the longest suffix in the tree.
+
+No part of the tree is gathered: n-grams, contexts and words are tables that grow with the corpus. A token's gain over its unigram
+chance is a sum of terms that depend on one key each: log10 gamma for each context of its state, and
+log10((share + gamma * below) / (gamma * below)) for each context whose counted next words hold it. So a batch of texts sends its
+distinct keys, packed, to the shards of one table of such terms, and gets sums for each text back. Unigram counts come the same
+way, but for frequent words, which are sent to the tasks (at most 1 / word_share of them). A bitmap of the keys spares asking for
+most of those that the table doesn't hold; a full one would only spare less.
+
+`grow` is the same tree in the driver's memory with floors by share, for corpora that fit; `score_texts` doesn't use its contexts.
 
 Defined cases: NULL and empty texts are the end token alone; a NULL doc_id counts as '' for the split, so it trains;
 repeated rows count and are scored each; an empty table gives no rows; other columns are ignored.
@@ -34,6 +37,10 @@ from spreadlens.session import stored
 
 DEPTH, WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE, NATS, DISCOUNT = 2, 2e-6, 1e-5, 1e-6, 10.0, 0.75
 BATCH = 4000
+LEAST = 2  # times that a context, and a next word after it, must be seen
+END = U64(0x5EEDED0FE0D0FEED)  # stands for the end of a text among word hashes
+PAIR = U64(0xA5A5_0F0F_3C3C_9669)
+MOST_BITS = 30  # of the bitmap, as a power of two
 
 
 @dataclass
@@ -231,8 +238,174 @@ def _prune(tree: Tree, levels: list[dict], nats: float) -> None:
         numbers = number
 
 
-def _local_scores(tree_of, parts: int):
-    """Per batch: one row with what is known here, and the rare words by part of the hash space."""
+def _older(symbols: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """The symbol k places before each token, `none` where its text begins later."""
+    out = np.full(len(symbols), none, symbols.dtype)
+    out[k:] = symbols[:-k]
+    out[place < k] = none
+    return out
+
+
+def _gram_counts(k: int):
+    """Distinct (next word, its k predecessors) of each batch as hashes h0 to hk, with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _texts(batches):
+            codes, starts, words = word_codes(batch.column(0))
+            hashes = np.append(word_hashes(words), END)
+            symbols, place, _ = _symbols(codes, starts, np.arange(len(words)), len(words))
+            width, some = len(hashes), np.flatnonzero(place >= k)
+            gram, most = symbols[some], width
+            for j in range(1, k + 1):
+                if most * width >= 2**62:
+                    gram = np.unique(gram, return_inverse=True)[1]
+                    most = len(gram) + 1
+                gram, most = gram * width + symbols[some - j], most * width
+            _, first, counts = np.unique(gram, return_index=True, return_counts=True)
+            at = some[first]
+            columns = [pa.array(hashes[symbols[at - j]].view(np.int64)) for j in range(k + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*_names(0, k), "n"])
+
+    return run
+
+
+def _names(a: int, b: int) -> list[str]:
+    return [f"h{j}" for j in range(a, b + 1)]
+
+
+def _context_keys(hashes: list[np.ndarray]) -> np.ndarray:
+    """One key for each context, from the hashes of its words, newest first."""
+    key = np.full(len(hashes[0]), len(hashes), U64)
+    for h in hashes:
+        key = mix(key + h)
+    return key
+
+
+def _keyed(k: int, parts: int, pairs: bool):
+    """(part, key, value) of contexts (h1 to hk, value), or of their next words (h0 to hk, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [x.to_numpy(zero_copy_only=False).view(U64) for x in batch.columns[:-1]]
+            key = _context_keys(hashes[1:] if pairs else hashes)
+            key = mix((key ^ PAIR) + hashes[0]) if pairs else key
+            yield pa.RecordBatch.from_arrays([pa.array(_part(key, parts)), pa.array(key.view(np.int64)), batch.column(batch.num_columns - 1)], names=["part", "key", "value"])
+
+    return run
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Shards in the order of keys."""
+    return (((keys >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column(0)).view(np.int64)), batch.column(1)], names=["h0", "n"])
+
+
+def context_terms(texts: DataFrame, lexicon: DataFrame, parts: int, depth: int = DEPTH, nats: float = NATS, discount: float = DISCOUNT) -> DataFrame:
+    """(part, key, value), written: the terms of all contexts of the tree and of their next words; one pass for each depth."""
+    spark, n_texts = texts.sparkSession, texts.count()
+    distinct, total = lexicon.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    every = total + n_texts + distinct + (n_texts > 0) + 1
+    ends = spark.createDataFrame([(int(END.view(np.int64)), n_texts)], "h0 long, n long")
+    lower = lexicon.select("word", "n").mapInArrow(_word_rows, "h0 long, n long").unionByName(ends)
+    lower = stored(lower.withColumn("p", (F.col("n") + 1) / F.lit(float(every))), "words")
+    levels, kept = [], None
+    for k in range(1, depth + 1):
+        context, gram = _names(1, k), _names(0, k)
+        types = ", ".join(f"{x} long" for x in [*gram, "n"])
+        counts = texts.select("text").mapInArrow(_gram_counts(k), types).groupBy(*gram).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        # A context's count is that of its newest word after the others.
+        totals = lower.select(*(F.col(f"h{j - 1}").alias(f"h{j}") for j in range(1, k + 1)), F.col("n").alias("total"))
+        below = lower.select(*_names(0, k - 1), F.col("p").alias("below"))
+        rows = counts.join(totals, context).join(below, _names(0, k - 1))
+        rows = stored(rows.withColumn("share", (F.col("n") - discount) / F.col("total")).drop("total"), f"grams{k}")
+        gammas = rows.groupBy(*context).agg(F.greatest(1 - F.sum("share"), F.lit(1e-12)).alias("gamma"))
+        lower = stored(rows.join(gammas, context).withColumn("p", F.col("share") + F.col("gamma") * F.col("below")), f"chances{k}")
+        nodes = lower.groupBy(*context).agg(F.first("gamma").alias("gamma"), F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).alias("gain"))
+        levels.append((k, lower, stored(nodes, f"nodes{k}")))
+    terms = []
+    for k, rows, nodes in reversed(levels):
+        context = _names(1, k)
+        own = nodes.where(F.col("gain") >= nats).select(*context)
+        # A kept context needs its suffixes.
+        kept = stored((own if kept is None else own.unionByName(kept.select(*context))).distinct(), f"kept{k}")
+        leaves = nodes.join(kept, context).select(*context, F.log10("gamma").alias("value"))
+        terms.append(leaves.mapInArrow(_keyed(k, parts, False), "part long, key long, value double"))
+        seen = rows.join(kept, context).select("h0", *context, F.log10(F.col("p") / (F.col("gamma") * F.col("below"))).alias("value"))
+        terms.append(seen.mapInArrow(_keyed(k, parts, True), "part long, key long, value double"))
+    table = terms[0]
+    for other in terms[1:]:
+        table = table.unionByName(other)
+    return stored(table, "terms")
+
+
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(2**bits // 8, np.uint8)
+        for batch in batches:
+            at = (mix(batch.column(0).to_numpy().view(U64)) >> U64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(found, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def bitmap_of(terms: DataFrame) -> np.ndarray:
+    """A bitmap that has every key of the table."""
+    n = terms.count()
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(8 * n + 1))))
+    # One after the other, so that the driver holds two of them at most.
+    out = np.zeros(2**bits // 8, np.uint8)
+    for row in terms.select("key").coalesce(4).mapInArrow(_bits(bits), "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _asks(bitmap: np.ndarray, depth: int, parts: int, hashes: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+    """(part, number of keys, keys, their times and owners) for tokens given by their words' hashes."""
+    keys, owners = [], []
+    shift = U64(64 - int(math.log2(8 * len(bitmap))))
+    for k in range(1, depth + 1):
+        some = np.flatnonzero(place >= k)
+        context = _context_keys([hashes[some - j] for j in range(1, k + 1)])
+        for key in (context, mix((context ^ PAIR) + hashes[some])):
+            at = (mix(key) >> shift).astype(np.int64)
+            there = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            keys.append(key[there])
+            owners.append(doc[some[there]])
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order].astype(np.uint16)
+    if len(key):
+        part = _part(key, parts)
+        for i, j in zip(*_runs(part)):
+            first = np.flatnonzero(np.concatenate([[True], key[i + 1 : j] != key[i : j - 1]]))
+            times = np.diff(np.append(first, j - i)).astype(np.uint32)
+            yield int(part[i]), len(first), key[i:j][first].tobytes(), times.tobytes() + owner[i:j].tobytes()
+
+
+def _add_up(asked: pa.Table, terms: pa.Table) -> pa.Table:
+    """Sums of the terms for each document of each batch that asks."""
+    keys = terms.column("key").to_numpy().view(U64) if terms.num_rows else np.empty(0, U64)
+    order = np.argsort(keys)
+    keys, values = keys[order], (terms.column("value").to_numpy() if terms.num_rows else np.empty(0))[order]
+    rows = []
+    for batch, n, a, b in zip(*(asked.column(x) for x in ("batch", "n", "a", "b"))):
+        n, b = n.as_py(), b.as_py()
+        at = _find(keys, np.frombuffer(a.as_py(), U64))
+        value = np.where(at >= 0, values[at], 0.0) if len(values) else np.zeros(n)
+        owner = np.frombuffer(b[4 * n :], np.uint16)
+        gain = np.bincount(owner, np.repeat(value, np.frombuffer(b[: 4 * n], np.uint32)))
+        docs = np.flatnonzero(gain)
+        rows.append((batch.as_py(), 1, len(docs), docs.astype(np.uint32).tobytes(), gain[docs].astype("<f8").tobytes()))
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, list(_SCORE)[:5])], names=["batch", "part", "n", "a", "b"])
+
+
+def _local_scores(tree_of, parts: int, bitmap_of_terms=None, depth: int = 0):
+    """Per batch: one row with what is known here, the rare words by part of the hash space, and keys of terms by part, from `parts` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_of.value
@@ -263,6 +436,10 @@ def _local_scores(tree_of, parts: int):
             number = uuid.uuid4().int >> 65
             head = [np.diff(starts) + 1, seen, base, gain]
             rows = [(number, -1, n, b"".join(x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes() for x in head), b"", batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if bitmap_of_terms is not None:
+                every_hash = np.append(word_hashes(words), END)
+                place_of = _symbols(codes, starts, np.arange(len(words)), len(words))[0]
+                rows += [(number, parts + part, *ask, None, None) for part, *ask in _asks(bitmap_of_terms.value, depth, parts, every_hash[place_of], place, doc)]
             rare = ids < 0
             token = np.flatnonzero(rare[codes]) if len(codes) else np.empty(0, np.int64)
             if len(token):
@@ -338,8 +515,11 @@ def _gather(tree: Tree):
         size, seen = np.frombuffer(row["a"][: 16 * n], "<i8").reshape(2, n).copy()
         base, gain = np.frombuffer(row["a"][16 * n :], "<f8").reshape(2, n).copy()
         # In a fixed order, so that sums of floats agree between runs.
-        for other in sorted(sums.to_pylist(), key=lambda x: x["a"]):
+        for other in sorted(sums.to_pylist(), key=lambda x: (x["part"], x["a"], x["b"])):
             docs = np.frombuffer(other["a"], np.uint32)
+            if other["part"]:
+                gain[docs] += np.frombuffer(other["b"], "<f8")
+                continue
             seen[docs] += np.frombuffer(other["b"][: 8 * other["n"]], "<i8")
             base[docs] += np.frombuffer(other["b"][8 * other["n"] :], "<f8")
         return pa.table({
@@ -360,17 +540,22 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, nats: float = NATS) -> Data
     parts = c.shuffle_partitions(spark)
     training = docs.where(~held_out(F.col("doc_id"))).select("text")
     lexicon = lexicon_of(training)
-    tree = grow(training, lexicon, depth, nats=nats)
-    return scored(docs, tree, lexicon, parts)
+    tree = grow(training, lexicon, 0)
+    return scored(docs, tree, lexicon, parts, context_terms(training, lexicon, parts, depth, nats), depth)
 
 
-def scored(docs: DataFrame, tree: Tree, lexicon: DataFrame, parts: int) -> DataFrame:
+def scored(docs: DataFrame, tree: Tree, lexicon: DataFrame, parts: int, terms: DataFrame | None = None, depth: int = 0) -> DataFrame:
+    """Scores by the tree's words and contexts, and by a table of terms."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(terms)) if terms is not None else None
     sent = docs.sparkSession.sparkContext.broadcast(tree)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
     # Written before it is split, so that all parts of a batch stem from one run of its task.
-    local = stored(rows.mapInArrow(_local_scores(sent, parts), _ROW + ", docs array<bigint>, held array<boolean>"), "scores")
+    local = stored(rows.mapInArrow(_local_scores(sent, parts, bitmap, depth), _ROW + ", docs array<bigint>, held array<boolean>"), "scores")
     hashed = lexicon.select("word", "n").mapInArrow(_hashed_words(parts), "part long, h long, k long, n long")
-    asked = local.where("part >= 0").select("batch", "part", "n", "a", "b")
+    asked = local.where(F.col("part").between(0, parts - 1)).select("batch", "part", "n", "a", "b")
     sums = asked.groupBy("part").cogroup(hashed.groupBy("part")).applyInArrow(_look_up, _ROW)
+    if terms is not None:
+        asked = local.where(F.col("part") >= parts).select((F.col("part") - parts).alias("part"), "batch", "n", "a", "b")
+        sums = sums.unionByName(asked.groupBy("part").cogroup(terms.groupBy("part")).applyInArrow(_add_up, _ROW))
     heads = local.where("part < 0").select("batch", "n", "a", "docs", "held")
     return heads.groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(_gather(tree), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -205,3 +205,24 @@ def test_chances_sum_to_one_and_contexts_help(spark):
         assert abs(scored[i].score - want) < 1e-6
     held = [r for r in scored.values() if r.held_out]
     assert held and sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
+
+
+def test_all_contexts_have_terms(spark):
+    """Terms looked up in shards give the scores of the whole tree in memory; a phrase seen five times counts in any corpus."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    # So many words that a share of the tokens would be above the five times of the phrase.
+    docs = [(i, " ".join(f"v{k}" for k in np.minimum(rng.zipf(1.3, 600), 20_000))) for i in range(1400)]
+    trains = [i for i in range(1400, 1500) if zlib.crc32(str(i).encode()) % 7 != 2][:5]
+    held = next(i for i in range(1500, 1600) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs += [(i, "quixotic zebra flamboyance") for i in [*trains, held]]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_tree_lm.score_texts(df).collect()}
+    assert len(got) == len(docs) and got[held].train_tokens > 600_000
+    assert got[held].score - got[held].base_score > 10
+    training = df.where(~suffix_tree_lm.held_out(df.doc_id)).select("text")
+    lexicon = suffix_tree_lm.lexicon_of(training)
+    tree = suffix_tree_lm.grow(training, lexicon, word_share=0, context_share=0, pair_share=0)
+    for r in suffix_tree_lm.scored(df, tree, lexicon, 3).collect():
+        assert abs(got[r.doc_id].score - r.score) < 1e-6 and abs(got[r.doc_id].base_score - r.base_score) < 1e-6
