@@ -3,12 +3,10 @@
 1. Every document's distinct shingles give a digest of the set, 128 MinHash values and a sketch of 128 bits. Documents with
    one set become one class, so a hot group of copies is a single row from here on.
 2. The signature is read in 32 rotated orders (trees) and all classes are range-sorted by them, so that the longest common
-   prefixes are neighbours. Classes that share the first four values of an order are a region, a run of the sorted rows. A
-   run of more than `region_rows` classes is told apart by the next value, again and again while it is crowded (adaptive
-   depth), and at the deepest level into blocks; the first rows of the pieces are compared with each other. Within a
-   piece all pairs of sketches are compared, and a spanning forest of those that may reach the similarity is kept:
-   candidates only group documents here, so fewer links lose nothing. A hot region spreads over many ranges; the rows where
-   two ranges meet are compared in a step of their own.
+   prefixes are neighbours. Classes that share the first four values of an order are a region, a run of the sorted rows. All
+   pairs of sketches of a region are compared, and a spanning forest of those that may reach the similarity is kept: candidates
+   only group documents here, so fewer links lose nothing. A region of more than `region_rows` classes, or one that may go on in
+   the next range, is dealt into blocks by a hash, and each pair of its blocks is compared by a task.
    A pair at 0.8 shares no region of 32 with probability (1 - 0.8^4)^32, about 5e-8.
 3. Candidate groups get their texts back, each once, and links are confirmed on whole sets, again as a spanning forest: within
    a group every pair is compared until it is known to be connected. A group of more than `group_rows` classes is not
@@ -35,9 +33,9 @@ from spreadlens.operators.graph import components
 from spreadlens.session import stored
 
 WIDTH, PERCENT = 2, 80
-TREES, DEPTH, DEEPER = 32, 4, 4
+TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
-REGION_ROWS, GROUP_ROWS, PIVOTS = 1000, 5000, 4
+REGION_ROWS, GROUP_ROWS, PIVOTS = 4000, 5000, 4
 CHUNK = 1 << 15
 _ODD = np.random.default_rng(20240).integers(1, 2**63, size=(2, HASHES), dtype=np.uint64) * U64(2) + U64(1)
 
@@ -93,25 +91,21 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, deep, rep, n_shingles, s1, s2), part being the region: one for each tree."""
+    """Rows (part, rep, n_shingles, s1, s2), part being the region: one for each tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(n, HASHES)
-        region, deep = np.empty((TREES, n), U64), np.empty((TREES, n), U64)
+        region = np.empty((TREES, n), U64)
         for t in range(TREES):
             key = np.full(n, t + 1, U64)
             for k in range(DEPTH):
                 key = mix(key + sig[:, t * DEPTH + k].astype(U64))
             region[t] = key
-            below = np.zeros(n, U64)
-            for k in range(DEEPER):
-                below = (below << U64(16)) | (sig[:, ((t + 1) * DEPTH + k) % HASHES] & np.uint32(0xFFFF)).astype(U64)
-            deep[t] = below
         again = lambda i: pa.array(np.tile(batch.column(i).to_numpy(zero_copy_only=False), TREES))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(region.ravel().view(np.int64)), pa.array(deep.ravel().view(np.int64)), again(0), again(1), again(2), again(3)],
+            [pa.array(region.ravel().view(np.int64)), again(0), again(1), again(2), again(3)],
             names=_COLUMNS,
         )
 
@@ -141,105 +135,100 @@ def _forest(sizes: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int) ->
     return links
 
 
-def _run_links(deep: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int, most: int) -> list[tuple[int, int]]:
-    """Links within a sorted run of one region. A crowded run is cut where the next value changes, as deep as needed, then
-    into blocks; the first rows of the pieces are compared with each other."""
-    out: list[tuple[int, int]] = []
-
-    def among(rows: np.ndarray) -> None:
-        out.extend((int(rows[a]), int(rows[b])) for a, b in _forest(n[rows], s1[rows], s2[rows], percent))
-
-    def pieces(rows: np.ndarray, level: int) -> None:
-        if len(rows) <= most:
-            among(rows)
-            return
-        if level < DEEPER:
-            value = deep[rows] >> U64(16 * (DEEPER - 1 - level))
-            cuts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-        else:
-            cuts = np.append(np.arange(0, len(rows), most // 2), len(rows))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            pieces(rows[a:b], level + 1)
-        heads = rows[cuts[:-1]]
-        for a in range(0, len(heads), most - 1):
-            among(heads[max(a - 1, 0) : a + most - 1])
-
-    pieces(np.arange(len(n)), 0)
-    return out
-
-
-_LINKED = "a long, b long, edge int, part long, deep long, n_shingles long, s1 long, s2 long"
-_COLUMNS = ["part", "deep", "rep", "n_shingles", "s1", "s2"]
+_COLUMNS = ["part", "rep", "n_shingles", "s1", "s2"]
+_LINKED = "a long, b long, part long, n_shingles long, s1 long, s2 long"
 
 
 def _sorted_links(percent: int, most: int):
-    """Links from rows in sorted order. A run longer than some batches is settled in pieces that share a row. The rows at either
-    end of a partition are passed on, as their region may go on in the next one."""
+    """Links within regions from rows in sorted order. Rows (part, a, n_shingles, s1, s2) without b are of regions that aren't settled
+    here: crowded ones, and those at either end of the partition, which may go on in the next one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId()
-        held, head_open, first_part = None, True, None
-        head: list[pd.DataFrame] = []
+        first_part = crowded = held = None
         for batch in batches:
             if not len(batch):
                 continue
             if first_part is None:
                 first_part = batch["part"].iloc[0]
-            if head_open:
-                of_first = batch[batch["part"] == first_part]
-                head.append(of_first.iloc[: most - sum(map(len, head))])
-                head_open = len(of_first) == len(batch) and sum(map(len, head)) < most
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows["part"] == rows["part"].iloc[-1]
-            if last.sum() > 20 * most:
-                yield _links_of(rows, percent, most)
-                held = rows.iloc[-1:]
-            else:
-                yield _links_of(rows[~last], percent, most)
-                held = rows[last]
+            part = rows["part"].to_numpy()
+            counts = rows.groupby("part", sort=False)["part"].transform("size").to_numpy()
+            is_open = (part == first_part) | (counts > most)
+            if crowded is not None:
+                is_open |= part == crowded
+            last = part == part[-1]
+            # The rest of a region that is known to be open follows it; another one is held until it ends or is crowded.
+            crowded = part[-1] if is_open[-1] else None
+            yield _open_rows(rows[is_open])
+            yield _links_of(rows[~is_open & ~last], percent)
+            held = rows[~is_open & last]
         if held is not None:
-            yield _links_of(held, percent, most)
-            for rows, edge in ((pd.concat(head), number - 1), (held.iloc[-most:], number)):
-                yield rows.rename(columns={"rep": "a"}).assign(b=None, edge=edge)[["a", "b", "edge", "part", "deep", "n_shingles", "s1", "s2"]]
+            yield _open_rows(held)
 
     return run
 
 
-def _links_of(rows: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
+def _open_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.rename(columns={"rep": "a"}).assign(b=None)[["a", "b", "part", "n_shingles", "s1", "s2"]]
+
+
+def _links_of(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     out: list[np.ndarray] = []
     if len(rows):
         part = rows["part"].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         rep, n = rows["rep"].to_numpy(), rows["n_shingles"].to_numpy()
-        deep, s1, s2 = (rows[x].to_numpy().view(U64) for x in ("deep", "s1", "s2"))
+        s1, s2 = (rows[x].to_numpy().view(U64) for x in ("s1", "s2"))
         several = np.flatnonzero(np.diff(cuts) > 1)
         for a, b in zip(cuts[several], cuts[several + 1]):
-            links = _run_links(deep[a:b], n[a:b], s1[a:b], s2[a:b], percent, most)
+            links = _forest(n[a:b], s1[a:b], s2[a:b], percent)
             if links:
                 out.append(rep[a:b][np.array(links)])
     pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
     found = pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))}).drop_duplicates()
-    return found.assign(edge=None, part=None, deep=None, n_shingles=None, s1=None, s2=None)
+    return found.assign(part=None, n_shingles=None, s1=None, s2=None)
 
 
-def _edge_links(percent: int, most: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.rename(columns={"a": "rep"}).drop_duplicates(["part", "rep"]).sort_values(["part", "deep", "rep"])
-        return _links_of(rows, percent, 2 * most)[["a", "b"]]
+def _whole_runs(percent: int):
+    """Links within runs of `part` that no other task has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if len(batch):
+                rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                last = rows["part"] == rows["part"].iloc[-1]
+                yield _links_of(rows[~last], percent)[["a", "b"]]
+                held = rows[last]
+        if held is not None:
+            yield _links_of(held, percent)[["a", "b"]]
 
     return run
 
 
+def _across(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b) links of regions (part, rep, n_shingles, s1, s2) that several tasks hold: each pair of blocks is a run of rows in some task."""
+    # A region that one range began and ended alone has one row only; two are needed for a link.
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Two blocks together are as large as a region that one task settles.
+    blocks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int")
+    dealt = rows.join(sizes.select("part", blocks.alias("k")), "part").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    # A block meets every other; the first meets itself where it is alone. Pairs inside a block come with any pair that has it.
+    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("own")))
+    copies = dealt.select(*_COLUMNS, "own", F.explode(others).alias("other"))
+    pair = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+    pairs = copies.select(pair, "rep", "n_shingles", "s1", "s2").repartition(c.shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+    return pairs.mapInPandas(_whole_runs(percent), "a long, b long")
+
+
 def candidate_links(classes: DataFrame, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
     """(a, b) links between classes (rep, n_shingles, s1, s2, sig) that share a region and may be similar."""
-    rows = classes.select("rep", "n_shingles", "s1", "s2", "sig").mapInArrow(_plant, "part long, deep long, rep long, n_shingles long, s1 long, s2 long")
+    rows = classes.select("rep", "n_shingles", "s1", "s2", "sig").mapInArrow(_plant, "part long, rep long, n_shingles long, s1 long, s2 long")
     n = c.shuffle_partitions(classes.sparkSession)
-    placed = rows.repartitionByRange(n, "part", "deep", "rep").sortWithinPartitions("part", "deep", "rep").select(*_COLUMNS)
+    placed = rows.repartitionByRange(n, "part", "rep").sortWithinPartitions("part").select(*_COLUMNS)
     found = stored(placed.mapInPandas(_sorted_links(percent, region_rows), _LINKED), "candidates")
-    across = found.where("edge is not null").groupBy("edge").applyInPandas(_edge_links(percent, region_rows), "a long, b long")
-    return found.where("edge is null").select("a", "b").unionByName(across).distinct()
+    unsettled = found.where("b is null").select("part", F.col("a").alias("rep"), "n_shingles", "s1", "s2")
+    return found.where("b is not null").select("a", "b").unionByName(_across(unsettled, percent, region_rows)).distinct()
 
 
 def _set_links(keys: list, sets: list[np.ndarray], percent: int, first_only: bool = False) -> list[tuple]:

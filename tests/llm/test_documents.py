@@ -226,3 +226,21 @@ def test_all_contexts_have_terms(spark):
     tree = suffix_tree_lm.grow(training, lexicon, word_share=0, context_share=0, pair_share=0)
     for r in suffix_tree_lm.scored(df, tree, lexicon, 3).collect():
         assert abs(got[r.doc_id].score - r.score) < 1e-6 and abs(got[r.doc_id].base_score - r.base_score) < 1e-6
+
+
+def test_crowded_regions_compare_all_pairs(spark):
+    """Two similar classes of one crowded region are linked, wherever they stand in it and in whichever range."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n = 240
+    sketches = rng.integers(-(2**63), 2**63, (n, 2))
+    # Members i and i + n / 2 are alike, the others are not; one order's first values are the same for all.
+    sketches[n // 2 :] = sketches[: n // 2]
+    signatures = rng.integers(0, 2**32, (n, minhash_forest.HASHES), dtype=np.uint32)
+    signatures[:, : minhash_forest.DEPTH] = 7
+    rows = [(i, 50, int(a), int(b), s.tobytes()) for i, ((a, b), s) in enumerate(zip(sketches, signatures))]
+    classes = spark.createDataFrame(rows, "rep long, n_shingles long, s1 long, s2 long, sig binary")
+    wanted = {(i, i + n // 2) for i in range(n // 2)}
+    for region_rows in (8, 50, 1000):
+        assert {tuple(r) for r in minhash_forest.candidate_links(classes, 80, region_rows).collect()} == wanted
