@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, written from their definitions."""
 
+from spreadlens.llm import license_scan
+
 W = r"[^\x20\x09-\x0D]+"
 
 # Cutoffs in thousandths: (rule, top, bottom, list).
@@ -97,7 +99,33 @@ near AS (SELECT d.doc_id, coalesce(any_value(sized.n), 0)::BIGINT AS n_shingles,
   FROM {source} d JOIN reach ON reach.a = d.doc_id LEFT JOIN sized ON sized.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
 
+def _licenses() -> str:
+    """Every template against every offset of every document, by an equality join of words."""
+    rows = []
+    for n, t in enumerate(license_scan.PHRASES + license_scan.NOTICES):
+        own, must = license_scan.template_words(t.text), license_scan.mandatory_places(t)
+        base = n < len(license_scan.PHRASES)
+        rows += [f"({n}, '{t.label}', {base}, {len(own)}, {len(must)}, {k}, '{w}', {k in must})" for k, w in enumerate(own)]
+    return f"""
+WITH t AS (FROM (VALUES {", ".join(rows)}) AS t(n, label, base, size, keys, k, w, must)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+tok AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+hit AS (
+  SELECT r, label, base, greatest(i - k, 0) AS start, count(*)::DOUBLE / size AS share FROM tok JOIN t USING (w)
+  GROUP BY r, n, label, base, size, keys, i - k HAVING count(*) FILTER (must) = keys AND 1000 * count(*) >= {license_scan.LEAST} * size
+),
+s AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM hit GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN s USING (r)"""
+
+
 ORACLE = {
+    "op11_license_scan": _licenses(),
     "op2_minhash_forest": f"WITH RECURSIVE {_near(2)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op1_quality_rules": f"{_verdicts()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict",
     "op8_url_filter": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spreadlens.llm import hnsw, kneser_ney, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
+from spreadlens.llm import hnsw, kneser_ney, license_scan, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
@@ -84,6 +84,11 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, d, "documents"))
 
 
+@query
+def op11_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, d, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
