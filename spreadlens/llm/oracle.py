@@ -124,7 +124,50 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 FROM d LEFT JOIN s USING (r)"""
 
 
+# Every repair of a conversation, row by row: the cheapest audit, then the least in ASCII, that leads to each state of the role pattern.
+_REPAIR = r"""
+WITH RECURSIVE
+g AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c FROM conversations),
+x AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ord(s)::BIGINT) AS b FROM g),
+k AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, n: list_reduce(list_prepend(xor(a, n), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, o: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS kind FROM x),
+d AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+e AS (FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS t(p, initial, q)),
+edit AS (
+  SELECT p, p AS q, 'D' AS act, '' AS initial, 3 AS price, NULL::VARCHAR AS told FROM range(4) AS t(p)
+  UNION ALL SELECT p, q, 'K', initial, 0, NULL::VARCHAR FROM e
+  UNION ALL SELECT p, q, 'R', '', 2, CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END FROM e WHERE initial <> 's'
+),
+ins AS (
+  SELECT p, p AS q, '' AS acts, []::VARCHAR[] AS said FROM range(4) AS t(p)
+  UNION ALL FROM (VALUES (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])) AS t(p, q, acts, said)
+),
+best AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, 0::BIGINT AS state, {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} AS way FROM g
+  UNION ALL
+  SELECT f.c, f.i, edit.q, min({
+    'cost': way.cost + 2 * length(acts) + price + CASE WHEN act <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END, 'audit': way.audit || acts || act,
+    'said': list_concat(way.said, ins.said, CASE WHEN act = 'D' THEN []::VARCHAR[] ELSE [coalesce(told, role) || ':' || text] END)})
+  FROM best JOIN f ON f.c = best.c AND f.i = best.i + 1 JOIN ins ON ins.p = best.state JOIN edit ON edit.p = ins.q
+  WHERE act = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (act = 'R' OR edit.initial = substr(role, 1, 1)))
+  GROUP BY f.c, f.i, edit.q
+),
+last AS (SELECT c, max(i) AS i FROM best GROUP BY c),
+done AS (SELECT best.c, min({'cost': way.cost + 2 * length(acts), 'audit': way.audit || acts, 'said': list_concat(way.said, ins.said)}) AS way
+  FROM best JOIN last USING (c, i) JOIN ins ON ins.p = best.state WHERE ins.q IN (0, 3) GROUP BY best.c),
+n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, way.cost::BIGINT AS cost, way.audit AS audit, sha256(array_to_string(way.said, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM g) JOIN done USING (c) LEFT JOIN n USING (c)
+"""
+
+
 ORACLE = {
+    "op13_turn_repair": _REPAIR,
     "op11_license_scan": _licenses(),
     "op2_minhash_forest": f"WITH RECURSIVE {_near(2)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op1_quality_rules": f"{_verdicts()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict",
