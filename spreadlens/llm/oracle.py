@@ -166,7 +166,25 @@ FROM (SELECT DISTINCT c, conv_id FROM g) JOIN done USING (c) LEFT JOIN n USING (
 """
 
 
+_PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) AS t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+cut AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, n, min({'score': (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f), 'j': j, 'l': x.f, 'r': y.f}) AS best
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y JOIN n ON n.lang = cut.lang GROUP BY ALL),
+o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c q ON q.lang = c.lang AND q.k > c.k AND 100 * q.a >= 100 * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ')),
+z AS (SELECT s.* FROM s ANTI JOIN o USING (lang, phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank, phrase, a, best.l AS l, best.r AS r, n::BIGINT AS n, best.score::BIGINT AS score
+FROM z QUALIFY rank <= 2000
+"""
+
+
 ORACLE = {
+    "op12_phrase_mining": _PHRASES,
     "op13_turn_repair": _REPAIR,
     "op11_license_scan": _licenses(),
     "op2_minhash_forest": f"WITH RECURSIVE {_near(2)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spreadlens.llm import hnsw, kneser_ney, license_scan, minhash_forest, mixing, oracle, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, turn_repair, url_filter
+from spreadlens.llm import hnsw, kneser_ney, license_scan, minhash_forest, mixing, oracle, phrase_mining, piece_viterbi, quality_rules, suffix_dedup, suffix_tree_lm, token_files, turn_repair, url_filter
 from spreadlens.llm.common import table
 from spreadlens.session import scratch_path
 
@@ -89,6 +89,11 @@ def op11_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.license_digest(table(spark, d, "documents"))
 
 
+@query
+def op12_phrase_mining(spark: SparkSession, d: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, d, "documents"))
+
+
 @query
 def op13_turn_repair(spark: SparkSession, d: str) -> DataFrame:
     conversations = table(spark, d, "conversations")
