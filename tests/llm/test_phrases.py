@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spreadlens.llm import phrase_mining as pm
@@ -70,18 +72,18 @@ def test_nothing_to_find(spark):
     assert pm.mine_phrases(spark.createDataFrame([(1, "en", "one two one two", 0, "")], SCHEMA)).collect() == []
 
 
-def test_rows_end_between_pieces(spark, monkeypatch):
+def test_rows_of_codes_end_between_pieces(monkeypatch):
     monkeypatch.setattr(pm, "ROW_CODES", 8)
     monkeypatch.setattr(pm, "SLICE_BYTES", 64)
-    monkeypatch.setattr(pm, "HELD_KEYS", 10)
-    rows = [(k, "en", "one two three four. five six seven, eight nine ten one two", 0, "") for k in range(9)]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["lang", "text"])
-    scanned = [b for b in pm._scan(iter([batch]))]
-    streams = [list(x) for b in scanned for x in b.column(0).to_pylist() if x is not None]
+    texts = ["one two three four. five six seven, eight nine ten one two"] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 9), pa.array(texts)], names=["lang", "text"])
+    every = SimpleNamespace(value=[np.full(16, 255, np.uint8)])
+    rows = [r for b in pm._coded(every)(iter([batch])) for r in b.to_pylist()]
+    streams = [r["codes"] for r in rows if r["codes"] is not None]
     assert all(s[-1] == 0 for s in streams) and sum(len([x for x in s if x]) for s in streams) == 9 * 12
-    assert sum(sum(b.column(4).drop_null().to_pylist()) for b in scanned) == 9 * 12
+    assert [(r["lang"], r["n"]) for r in rows if r["codes"] is None] == [("en", 9 * 12)]
+    none = SimpleNamespace(value=[np.zeros(16, np.uint8)])
+    assert [r["n"] for r in next(pm._coded(none)(iter([batch]))).to_pylist()] == [9 * 12]
 
 
 def test_double_array_holds_exactly_its_phrases():
