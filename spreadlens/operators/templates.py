@@ -27,6 +27,14 @@ FOLD_THRESHOLD = 0.75
 SHOWN = 5
 
 
+def body_keys(posts: DataFrame) -> DataFrame:
+    """(raw, key, chars): each distinct body normalised once, where its digest deals it, however its posts lie."""
+    body = F.coalesce("body", F.lit(""))
+    distinct = posts.select(F.md5(body).alias("raw"), body.alias("body")).groupBy("raw").agg(F.first("body").alias("body"))
+    normalised = distinct.select("raw", normalise(F.col("body")).alias("normalised"))
+    return normalised.select("raw", F.md5("normalised").alias("key"), F.length("normalised").alias("chars"))
+
+
 def keyed_posts(posts: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """The final state of each post as narrow rows: ids, times, flags, and the text's digest and length."""
     narrow = posts.select(
@@ -35,12 +43,11 @@ def keyed_posts(posts: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
         *ties,
         "author_id",
         "created_at",
-        normalise(F.coalesce("body", F.lit(""))).alias("normalised"),
+        F.md5(F.coalesce("body", F.lit(""))).alias("raw"),
         F.col("has_link").cast("int").alias("link"),
         (F.coalesce("views_count", F.lit(0)) == 0).cast("int").alias("unseen"),
     )
-    digested = narrow.withColumns({"key": F.md5("normalised"), "chars": F.length("normalised")}).drop("normalised")
-    return latest(digested, ties)
+    return latest(narrow, ties).join(body_keys(posts), "raw").drop("raw")
 
 
 def grouped(rows: DataFrame, key: str, actor: str, minimum: int) -> DataFrame:
