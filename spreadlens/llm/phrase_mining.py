@@ -37,14 +37,14 @@ from spreadlens.llm import common as c
 from spreadlens.llm.tokens import U64, mix
 from spreadlens.session import stored
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 HELD_SLICES = 4
 ROW_CODES, TAKEN_CODES = 1 << 10, 1 << 16
 LEAST_BITS, MOST_BITS, BYTES_PER_BIT = 20, 30, 24
 BYTES_PER_TASK = 256 << 20
 MOST_STATES = 1 << 20
 PIECE_STATES = 1 << 14
-HELD_KEYS = 1 << 21
+HELD_KEYS, HELD_PHRASES = 1 << 20, 1 << 19
 PIECES = 10
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -312,11 +312,11 @@ def _candidates(bits):
                     phrases[:, j] = codes[at[first] + j]
                 held.setdefault(lang, []).append((keys, phrases))
                 n += len(keys)
-            if n >= HELD_KEYS // 4:
+            if n >= HELD_PHRASES:
                 for each in list(held):
                     own[each] = merged(each)
                 n = 0
-                if sum(len(x[0]) for x in own.values()) >= HELD_KEYS // 4:
+                if sum(len(x[0]) for x in own.values()) >= HELD_PHRASES:
                     for each in list(own):
                         yield from dealt(each, *own.pop(each))
         for lang in {*own, *held}:
