@@ -126,6 +126,17 @@ def cluster_templates(
     return groups.join(samples, "key").join(template_texts(posts, firsts, ties), "key")
 
 
+def ridden_velocity(
+    posts: DataFrame, min_authors: int = MIN_AUTHORS, min_chars: int = MIN_CHARS, ties: Sequence[str] = ()
+) -> DataFrame:
+    """(id, velocity): the distinct accounts in the last hour of the template a post rides; zero where it rides none."""
+    rows = stored(keyed_posts(posts, ties), "ridden")
+    long = rows.where(F.col("chars") >= min_chars)
+    kept = long.join(grouped(long, "key", "author_id", min_authors).select("key"), "key", "left_semi")
+    last = hour_cells(kept, "key", "author_id").groupBy("key").agg(F.max_by("authors", "hour").alias("velocity"))
+    return rows.join(last, "key", "left").select("id", F.coalesce("velocity", F.lit(0)).alias("velocity"))
+
+
 def cluster_sounds(videos: DataFrame, min_creators: int = 5, bucket: str = "hour") -> DataFrame:
     """One row per sound used by enough creators, with its curve."""
     require_columns(videos, VIDEO_COLUMNS)

@@ -27,8 +27,6 @@ MARKERS = ("the", "und", "les", "$")
 # 0.98 separates near copies there as 0.75 does for posts.
 LONG_TEXT_THRESHOLD = 0.98
 DAYS = (1440.0, 86400.0)
-DIM = 64
-ROUNDS = 40
 
 
 def query(function: Query) -> Query:
@@ -484,44 +482,55 @@ def feature_medians(spark, d):
 
 @query
 def feature_matrix(spark, d):
-    return features.feature_matrix(snapshots.latest(views.posts(spark, d)), dim=DIM)
+    return features.feature_matrix(snapshots.latest(views.posts(spark, d)))
 
 
 # ---- forecast, learning --------------------------------------------------------------------------
 
 
+FITTED: dict[tuple[str, str], forecast.Forecaster] = {}
+
+
 def _fitted(spark: SparkSession, d: str) -> tuple[forecast.Forecaster, DataFrame]:
-    """A model of four fifths of the posts, and the log of the other fifth."""
-    split = stored(sampling.split_by_id(views.posts(spark, d)), "split")
-    fitted = forecast.fit(split.where("not holdout").drop("holdout"), dim=DIM, rounds=ROUNDS, rounds_1h=ROUNDS)
-    return fitted, split.where("holdout").drop("holdout")
+    """A model of four fifths of the posts, fitted once a session, and the log of the other fifth."""
+    split = sampling.split_by_id(views.posts(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in FITTED:
+        FITTED[key] = forecast.fit(stored(split.where("not holdout").drop("holdout"), "split"))
+    return FITTED[key], split.where("holdout").drop("holdout")
 
 
-def _score_inputs(posts: DataFrame, log: DataFrame) -> DataFrame:
-    """What a forecast of `posts` needs; the authors' history comes from the whole log."""
-    final = snapshots.latest(posts)
+def _score_inputs(log: DataFrame) -> DataFrame:
+    """What a forecast of every post of a log needs: its author's history and the template it rides."""
+    final = snapshots.latest(log)
     history = baselines.author_baselines(log).select(F.col("author").alias("author_id"), "median_likes", F.col("posts").alias("history"))
-    return final.join(history, "author_id", "left").select(
+    return final.join(history, "author_id", "left").join(templates.ridden_velocity(log), "id", "left").select(
         "id",
         F.col("body").alias("text"),
         F.coalesce("median_likes", F.lit(0.0)).alias("median_likes"),
         F.coalesce("history", F.lit(0)).alias("history"),
         F.col("created_at").alias("posted_at"),
         "has_media",
-        F.lit(0.0).alias("velocity"),
+        F.coalesce("velocity", F.lit(0)).cast("double").alias("velocity"),
     )
 
 
+@query
+def forecast_inputs(spark, d):
+    found = _score_inputs(views.posts(spark, d))
+    return found.select("id", F.length("text").cast("long").alias("chars"), "median_likes", "history", at("posted_at").alias("posted_at"), "has_media", "velocity")
+
+
 @named("forecast")
 def forecast_posts(spark, d):
-    fitted, holdout = _fitted(spark, d)
-    return fitted.predict(_score_inputs(holdout, views.posts(spark, d))).select("id", "likes_1d", "likes_1h", "relative_to_median", "error")
+    fitted, _ = _fitted(spark, d)
+    return fitted.predict(_score_inputs(views.posts(spark, d))).select("id", "likes_1d", "likes_1h", "relative_to_median", "error")
 
 
 @query
 def forecast_drivers(spark, d):
-    fitted, holdout = _fitted(spark, d)
-    found = fitted.predict(_score_inputs(holdout, views.posts(spark, d))).select("id", F.posexplode("drivers").alias("position", "driver"))
+    fitted, _ = _fitted(spark, d)
+    found = fitted.predict(_score_inputs(views.posts(spark, d))).select("id", F.posexplode("drivers").alias("position", "driver"))
     return found.select("id", "position", "driver.*")
 
 
@@ -541,7 +550,7 @@ def median_baseline_error(spark, d):
 @query
 def anchored_forecast(spark, d):
     """The forecast arithmetic over given logs: every author's median, and logs made from the post's own counts."""
-    inputs = _score_inputs(views.posts(spark, d), views.posts(spark, d)).join(
+    inputs = _score_inputs(views.posts(spark, d)).join(
         snapshots.latest(views.posts(spark, d)).select("id", "retweet_count", "reply_count", "views_count"), "id"
     )
     log_1h = F.when(F.col("views_count") > 2, F.log1p(F.col("reply_count").cast("double")))

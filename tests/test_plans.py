@@ -2,7 +2,7 @@
 
 import pytest
 
-from spreadlens.operators import snapshots
+from spreadlens.operators import snapshots, templates
 from spreadlens.plans.queries import QUERIES
 from spreadlens.sources import views
 
@@ -35,3 +35,22 @@ def test_latest_drops_rows_before_the_shuffle(spark, sf_dir):
 @pytest.mark.parametrize("name", ["captions", "chars_to_words"])
 def test_in_row_operators_shuffle_nothing(spark, sf_dir, name):
     assert "Exchange" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_mining_normalises_distinct_bodies_behind_their_digest(spark, sf_dir):
+    """The patterns run above the exchange by the body's digest, so a document that most posts share is read once."""
+    text = plan(templates.keyed_posts(views.posts(spark, sf_dir)))
+    physical = text[text.index("== Physical Plan ==") :]
+    lines = [k for k, line in enumerate(physical.splitlines()) if "regexp_replace" in line]
+    behind = [k for k, line in enumerate(physical.splitlines()) if "Exchange hashpartitioning(raw" in line]
+    assert lines and behind and min(behind) > min(lines) and all(any(b > k for b in behind) for k in lines)
+
+
+def test_a_document_that_most_posts_share(spark):
+    rows = [(str(k), f"a{k % 50}", "The same text @x, of many accounts" if k % 10 < 6 else f"text number {k} of one account", k) for k in range(2000)]
+    posts = spark.createDataFrame(rows, "id string, author_id string, body string, n int").selectExpr(
+        "*", "timestamp_seconds(n) as created_at", "timestamp_seconds(n) as version", "false as has_link", "0L as views_count"
+    )
+    keyed = templates.keyed_posts(posts)
+    assert keyed.count() == 2000
+    assert keyed.groupBy("key").count().agg({"count": "max"}).first()[0] == 1200
