@@ -299,6 +299,27 @@ def near_duplicate_pairs(spark, d):
     return similarity.linked_pairs(vectors, "id", LONG_TEXT_THRESHOLD)
 
 
+def _short_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the distinct normalised lines of all documents, which are about as long as posts."""
+    lines = _documents(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
+    texts = lines.select(tx.normalise(F.col("line")).alias("normalised")).where(F.length("normalised") >= templates.MIN_CHARS).distinct()
+    return similarity.hash_vectors(texts.select(F.md5("normalised").alias("id"), "normalised"), "id", "normalised")
+
+
+@query
+def near_duplicate_pairs_short(spark, d):
+    return similarity.linked_pairs(_short_vectors(spark, d), "id", templates.FOLD_THRESHOLD)
+
+
+@query
+def folded_short(spark, d):
+    """Every line with the least digest of the lines that near copies lead to."""
+    vectors = stored(_short_vectors(spark, d), "short")
+    members = similarity.fold_members(similarity.linked_pairs(vectors, "id", templates.FOLD_THRESHOLD, forest=True))
+    found = vectors.select("id").join(members.withColumnRenamed("node", "id"), "id", "left")
+    return found.select("id", F.coalesce("root", "id").alias("root"))
+
+
 def _folded(spark: SparkSession, d: str) -> templates.Mined:
     return templates.Mined(views.even_posts(spark, d), min_authors=5, threshold=LONG_TEXT_THRESHOLD)
 
