@@ -205,9 +205,14 @@ def block_copies(vectors: DataFrame, blocks: int) -> DataFrame:
 # ---- near copies ---------------------------------------------------------------------------------
 
 
-def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def linked_pairs(
+    vectors: DataFrame, id_col: str, threshold: float, forest: bool = False, block_rows: int = BLOCK_ROWS, candidates: str = "blocks"
+) -> DataFrame:
     """(a, b, similarity), a < b: every pair with cosine at least `threshold`, found exactly.
 
+    With `candidates="bands"` only pairs that share a hyperplane signature are compared (`banded_pairs`): the work no longer
+    grows with the square of the texts, and links near the threshold may be missed. Never chosen by size.
+
     Vectors are cut into blocks of at most `block_rows`, and each pair of blocks is a task: a vector is copied once for each
     block and no more, whatever the threshold. With `forest`, a task returns a spanning forest of the links it found instead
     of all of them: the same components from at most one link per vector, also where a third of the texts are copies.
@@ -215,6 +220,10 @@ def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool
     require_columns(vectors, ("id", "vec", "sq"))
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    if candidates not in ("blocks", "bands"):
+        raise ValueError("candidates must be 'blocks' or 'bands'")
+    if candidates == "bands":
+        return banded_pairs(vectors, threshold, forest)
     spark = vectors.sparkSession
     vectors = stored(vectors.where("sq > 0"), "vectors")
     n = vectors.count()
@@ -224,6 +233,11 @@ def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool
         return spark.createDataFrame([], pair_schema)
 
     tasks = block_copies(vectors, math.ceil(n / block_rows))
+    return spread(tasks, "i", "j").groupBy("i", "j").applyInPandas(_comparer(threshold, forest), pair_schema)
+
+
+def _comparer(threshold: float, forest: bool):
+    """The links of one pair of blocks (rows with i, j and whether they are its right side)."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
@@ -240,7 +254,128 @@ def linked_pairs(vectors: DataFrame, id_col: str, threshold: float, forest: bool
         swap = x > y
         return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "similarity": sims[rows, columns]})
 
-    return spread(tasks, "i", "j").groupBy("i", "j").applyInPandas(compare, pair_schema)
+    return compare
+
+
+# ---- candidates by signatures --------------------------------------------------------------------
+
+# Signatures of a vector: tables, bits of a key, and how many of its bits, the least certain first, are also tried flipped.
+TABLES, KEY_BITS, FLIPS = 48, 12, 12
+# Bits of a sketch that candidates are held against before their vectors are fetched, and the spread allowed for.
+SKETCH_BITS, SKETCH_SPREAD = 512, 4.0
+# A key with more vectors than this is compared in pairs of blocks.
+HOT_ROWS = 256
+
+
+def mean_unit(vectors: DataFrame) -> np.ndarray:
+    """The mean of the unit vectors, from one sum per dimension."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<f4").reshape(batch.num_rows, -1).astype(float)
+            sums = (rows / np.sqrt(batch.column("sq").to_numpy(zero_copy_only=False).astype(float))[:, None]).sum(axis=0)
+            total, n = sums if total is None else total + sums, n + len(rows)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], names=["k", "v", "n"])
+
+    sums = vectors.select("vec", "sq").mapInArrow(add_up, "k bigint, v double, n bigint").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v"))
+    return np.array([r["v"] for r in sorted(sums.collect(), key=lambda r: r["k"])])
+
+
+def signatures(vectors: DataFrame, mean: np.ndarray, tables: int = TABLES, bits: int = KEY_BITS, flips: int = FLIPS, seed: int = 7) -> DataFrame:
+    """(id, keys: array of (table, key, base), sketch: array of longs) of vectors taken relative to their mean.
+
+    Texts of one language share most of a hashed vector, so hyperplanes through the mean tell them apart. A key has one bit for
+    each plane; keys with one of the `flips` bits nearest their plane flipped are listed with `base` false.
+    """
+    rng = np.random.default_rng(seed)
+    planes = rng.standard_normal((len(mean), tables * bits + SKETCH_BITS)).astype("<f4")
+    lift = mean @ planes
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits)
+        for batch in batches:
+            n = batch.num_rows
+            rows = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<f4").reshape(n, -1)
+            sides = rows @ planes / np.sqrt(batch.column("sq").to_numpy(zero_copy_only=False).astype("<f4"))[:, None] - lift
+            own = sides[:, : tables * bits].reshape(n, tables, bits)
+            base = ((own > 0) * weights).sum(axis=2)
+            near = np.argsort(np.abs(own), axis=2)[:, :, :flips]
+            keys = np.concatenate([base[:, :, None], base[:, :, None] ^ weights[near]], axis=2)
+            size = keys.shape[1] * keys.shape[2]
+            table = np.broadcast_to(np.arange(tables)[None, :, None], keys.shape)
+            is_base = np.broadcast_to(np.arange(keys.shape[2])[None, None, :] == 0, keys.shape)
+            structs = pa.StructArray.from_arrays([pa.array(a.ravel()) for a in (table.astype(np.int32), keys.astype(np.int64), is_base)], names=["table", "key", "base"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), structs)
+            packed = np.packbits(sides[:, tables * bits :] > 0, axis=1).view("<i8")
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, sketch], names=["id", "keys", "sketch"])
+
+    added = T.StructType.fromDDL("keys array<struct<table:int,key:bigint,base:boolean>>, sketch array<bigint>")
+    return vectors.select("id", "vec", "sq").mapInArrow(sign, T.StructType([vectors.schema["id"], *added.fields]))
+
+
+def banded_pairs(
+    vectors: DataFrame, threshold: float, forest: bool = False, tables: int = TABLES, bits: int = KEY_BITS, flips: int = FLIPS, seed: int = 7
+) -> DataFrame:
+    """(a, b, similarity), a < b: pairs that share a key in one of the tables and have a cosine of at least `threshold`.
+
+    Candidates are pairs of narrow rows: a vector's keys, some bits flipped, meet the others' own keys, and sketches of
+    SKETCH_BITS bits must agree as far as the threshold asks for, less SKETCH_SPREAD standard deviations. Only what is left
+    fetches vectors and is compared exactly. Keys of more than HOT_ROWS vectors are compared in pairs of blocks instead, with a
+    spanning forest from each if `forest` is asked for.
+    """
+    spark = vectors.sparkSession
+    vectors = stored(vectors.where("sq > 0").select("id", "vec", "sq"), "vectors")
+    id_type = vectors.schema["id"].dataType.simpleString()
+    schema = f"a {id_type}, b {id_type}, similarity double"
+    if vectors.count() < 2:
+        return spark.createDataFrame([], schema)
+    mean = mean_unit(vectors)
+    signed = stored(signatures(vectors, mean, tables, bits, flips, seed), "signatures")
+    listed = signed.select("id", "sketch", F.explode("keys").alias("k")).select("id", "sketch", "k.*")
+    sizes = listed.where("base").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(sizes.where(F.col("n") > HOT_ROWS), "hot")
+    cold = listed.join(hot, ["table", "key"], "left_anti")
+
+    # Links between texts that have more than the average share of the mean are further apart around it.
+    shared = min(2 * float(mean @ mean), threshold)
+    angle = math.acos(max(-1.0, min(1.0, (threshold - shared) / max(1 - shared, 1e-9)))) / math.pi
+    allowed = int(SKETCH_BITS * angle + SKETCH_SPREAD * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
+    left = cold.select("table", "key", F.col("id").alias("a"), F.col("sketch").alias("x"))
+    right = cold.where("base").select("table", "key", F.col("id").alias("b"), F.col("sketch").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    met = left.join(right, ["table", "key"]).where((F.col("a") != F.col("b")) & (apart <= allowed))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = vectors.select(F.col("id").alias("a"), F.struct("vec", "sq").alias("left"))
+    other = vectors.select(F.col("id").alias("b"), F.struct("vec", "sq").alias("right"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(_matrix(c.field("vec").to_pylist()), c.field("sq").to_numpy(zero_copy_only=False).astype(float)) for c in (batch.column("left"), batch.column("right"))]
+            (x, p), (y, q) = sides
+            sims = np.round((x * y).sum(axis=1) / np.sqrt(p * q), 6)
+            keep = pa.array(sims >= threshold)
+            columns = [batch.column("a"), batch.column("b"), pa.array(sims)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", "similarity"])
+
+    checked = pairs.join(own, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(check, schema)
+    return checked.unionByName(_hot_pairs(vectors, listed, hot, threshold, forest, schema)).distinct()
+
+
+def _hot_pairs(vectors: DataFrame, listed: DataFrame, hot: DataFrame, threshold: float, forest: bool, schema: str) -> DataFrame:
+    """The links within crowded keys: a vector is copied once for each block of its key."""
+    members = listed.join(hot.select("table", "key"), ["table", "key"]).select("table", "key", "id").distinct()
+    sized = members.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    roles = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j"), (k < F.col("block")).alias("right")),
+    )
+    copies = members.join(sized, ["table", "key"]).withColumn("block", block).select("table", "key", "id", F.explode(roles).alias("role"))
+    tasks = copies.join(vectors, "id").select("table", "key", "role.i", "role.j", "role.right", "id", "vec", "sq")
+    return tasks.groupBy("table", "key", "i", "j").applyInPandas(_comparer(threshold, forest), schema)
 
 
 def _forest(close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -176,6 +176,7 @@ class Mined:
         bucket: str = "hour",
         fold_before_filter: bool = False,
         embed: Embed = hash_vectors,
+        candidates: str = "blocks",
     ) -> None:
         if min_authors < 2:
             raise ValueError("min_authors must be at least 2; one author is a post, not a template")
@@ -191,10 +192,10 @@ class Mined:
         )
         self.firsts = stored(first_posts(kept).select("key", "id", "version", *ties, "position"), "firsts")
         self.texts = stored(template_texts(posts, self.firsts, ties), "texts")
-        self.members = self._members(threshold, embed)
+        self.members = self._members(threshold, embed, candidates)
         self.min_authors = min_authors
 
-    def _members(self, threshold: float, embed: Embed) -> DataFrame:
+    def _members(self, threshold: float, embed: Embed, candidates: str) -> DataFrame:
         """(key, root): every key with the largest key of its near-copy component."""
         # Most accounts first, then most posts, then the digest, as one string that sorts that way.
         big = 10**12
@@ -204,7 +205,7 @@ class Mined:
             F.col("key"),
         )
         vectors = embed(self.texts.join(self.groups.select("key", rank.alias("rank")), "key"), "rank", "normalised")
-        components = fold_members(linked_pairs(vectors, "rank", threshold, forest=True))
+        components = fold_members(linked_pairs(vectors, "rank", threshold, forest=True, candidates=candidates))
         digest = lambda c: F.substring(c, 27, 32)
         moved = components.select(digest("node").alias("key"), digest("root").alias("root"))
         return stored(
