@@ -25,6 +25,8 @@ MIN_CHARS = 20
 MAX_TEMPLATES = 50
 FOLD_THRESHOLD = 0.75
 SHOWN = 5
+# Distinct-count sketches have 2^14 registers: a standard error of 0.65 %.
+SKETCH_LOG_K = 14
 
 
 def body_keys(posts: DataFrame) -> DataFrame:
@@ -75,6 +77,51 @@ def hour_cells(rows: DataFrame, key: str, actor: str, bucket: str = "hour") -> D
     )
 
 
+def hour_sketches(rows: DataFrame, key: str = "key", actor: str = "author_id", bucket: str = "hour") -> DataFrame:
+    """The hour layer with a mergeable sketch of each key's actors: key, hour, actors, posts, first_seen, links, unseen.
+
+    Sketches of the same hour are merged before the shuffle, and those of several hours, or of several keys, by later reads,
+    so no window and no folded template needs the posts again.
+    """
+    return rows.groupBy(F.col(key).alias("key"), F.date_trunc(bucket, "created_at").alias("hour")).agg(
+        F.hll_sketch_agg(actor, F.lit(SKETCH_LOG_K)).alias("actors"),
+        F.count(F.lit(1)).alias("posts"),
+        F.min("created_at").alias("first_seen"),
+        F.sum("link").alias("links"),
+        F.sum("unseen").alias("unseen"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, minimum: int = 1, by: str = "key") -> DataFrame:
+    """What `grouped` tells, from hour sketches: the number of actors is approximate (`SKETCH_LOG_K`), all else exact."""
+    return (
+        sketches.groupBy(by)
+        .agg(
+            F.hll_sketch_estimate(F.hll_union_agg("actors")).alias("authors"),
+            F.sum("posts").alias("posts"),
+            F.min("first_seen").alias("first_seen"),
+            F.sum("links").alias("links"),
+            F.sum("unseen").alias("unseen"),
+        )
+        .where(F.col("authors") >= minimum)
+    )
+
+
+def folded_sketches(sketches: DataFrame, members: DataFrame, minimum: int = MIN_AUTHORS) -> DataFrame:
+    """Folded templates (root, authors, posts, first_seen, link_share, zero_views_share, variants) from hour sketches and
+    (key, root): an account that posted several variants counts once, as sketches forget who was counted where."""
+    rooted = sketches.join(members, "key")
+    variants = members.groupBy("root").agg(F.count(F.lit(1)).alias("variants"))
+    return shares(merged_sketches(rooted, minimum, "root")).drop("links", "unseen").join(variants, "root")
+
+
+def sketched_cells(sketches: DataFrame, members: DataFrame) -> DataFrame:
+    """Hourly curves of folded templates (root, hour, authors, posts) from hour sketches."""
+    return sketches.join(members, "key").groupBy("root", "hour").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("actors")).alias("authors"), F.sum("posts").alias("posts")
+    )
+
+
 def curve_arrays(cells: DataFrame, key: str) -> DataFrame:
     """Each key's curve as one ordered array; its length is bounded by the hours in the window."""
     points = F.collect_list(F.struct("hour", "authors", "posts"))
@@ -113,12 +160,16 @@ def shares(groups: DataFrame) -> DataFrame:
 
 
 def cluster_templates(
-    posts: DataFrame, min_authors: int = MIN_AUTHORS, min_chars: int = MIN_CHARS, ties: Sequence[str] = ()
+    posts: DataFrame, min_authors: int = MIN_AUTHORS, min_chars: int = MIN_CHARS, ties: Sequence[str] = (), approx: bool = False
 ) -> DataFrame:
-    """One row per template: text, normalised text, counts, first appearance, shares and first post ids."""
+    """One row per template: text, normalised text, counts, first appearance, shares and first post ids.
+
+    With `approx` the accounts are estimated from merged hour sketches: one exchange of at most a row per key and hour.
+    """
     # Narrow, and read twice below.
     rows = stored(keyed_posts(posts, ties).where(F.col("chars") >= min_chars), "rows")
-    groups = shares(grouped(rows, "key", "author_id", min_authors)).drop("links", "unseen")
+    counted = merged_sketches(hour_sketches(rows), min_authors) if approx else grouped(rows, "key", "author_id", min_authors)
+    groups = shares(counted).drop("links", "unseen")
     firsts = first_posts(rows.join(groups.select("key"), "key", "left_semi"))
     samples = firsts.groupBy("key").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "id"))), lambda p: p["id"]).alias("sample_ids")
@@ -184,6 +235,7 @@ class Mined:
         finals = stored(keyed_posts(posts, ties).where(F.col("chars") >= min_chars), "finals")
         self.groups = stored(grouped(finals, "key", "author_id", 1 if fold_before_filter else min_authors), "groups")
         kept = finals.join(self.groups.select("key"), "key", "left_semi")
+        self.kept = kept
         self.cells = stored(
             kept.groupBy("key", "author_id", F.date_trunc(bucket, "created_at").alias("hour")).agg(
                 F.count(F.lit(1)).alias("posts")

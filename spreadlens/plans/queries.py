@@ -208,9 +208,8 @@ def _kept_rows(spark: SparkSession, d: str, min_authors: int = 8) -> DataFrame:
     return rows.join(groups.select("key"), "key", "left_semi")
 
 
-@query
-def template_clusters(spark, d):
-    df = templates.cluster_templates(views.posts(spark, d), min_authors=8)
+def _clusters(spark: SparkSession, d: str, approx: bool = False) -> DataFrame:
+    df = templates.cluster_templates(views.posts(spark, d), min_authors=8, approx=approx)
     return df.select(
         "key", "text", "normalised", "authors", "posts", at("first_seen").alias("first_seen"),
         r6("link_share").alias("link_share"), r6("zero_views_share").alias("zero_views_share"),
@@ -218,6 +217,17 @@ def template_clusters(spark, d):
     )
 
 
+@query
+def template_clusters(spark, d):
+    return _clusters(spark, d)
+
+
+@query
+def template_clusters_approx(spark, d):
+    """Accounts from merged sketches; below some thousand accounts a sketch is still a list of them, and exact."""
+    return _clusters(spark, d, approx=True)
+
+
 @query
 def replication_curve(spark, d):
     cells = templates.hour_cells(_kept_rows(spark, d), "key", "author_id")
@@ -324,15 +334,24 @@ def _folded(spark: SparkSession, d: str) -> templates.Mined:
     return templates.Mined(views.even_posts(spark, d), min_authors=5, threshold=LONG_TEXT_THRESHOLD)
 
 
-@query
-def folded_templates(spark, d):
-    df = _folded(spark, d).folded()
+def _folded_columns(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("root").alias("key"), "authors", "posts", "variants", at("first_seen").alias("first_seen"),
         r6("link_share").alias("link_share"), r6("zero_views_share").alias("zero_views_share"),
     )
 
 
+@query
+def folded_templates(spark, d):
+    return _folded_columns(_folded(spark, d).folded())
+
+
+@query
+def folded_approx(spark, d):
+    mined = _folded(spark, d)
+    return _folded_columns(templates.folded_sketches(templates.hour_sketches(mined.kept), mined.members))
+
+
 @query
 def folded_curves(spark, d):
     mined = _folded(spark, d)
