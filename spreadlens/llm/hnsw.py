@@ -9,8 +9,8 @@ are computed on the original vectors in double precision; the shards' best are m
 
 Work follows rows for building and queries times shards for searching; a task holds one shard and one block of queries.
 
-Defined cases: vectors that are NULL, zero, hold NULL or non-finite components, or have another length than the longest
-take no part, neither do rows with a NULL id; a query id of several rows is searched with its smallest vector; equal scores
+Defined cases: vectors that are NULL, zero, hold NULL or non-finite components, or have another length than most (the
+shorter one on ties) take no part, neither do rows with a NULL id; a query id of several rows is searched with its smallest vector; equal scores
 go by vec_id; other columns are ignored.
 """
 
@@ -204,10 +204,12 @@ def _vectors(df: DataFrame) -> DataFrame:
 def build_index(df: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard of (vec_id, embedding), written: distinct vectors, ids, and each level's flat neighbour arrays."""
     rows = _vectors(df)
-    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    # One vector of another length must not decide for all others.
+    n, dim = sizes.orderBy(F.desc("n"), "dim").select("n", "dim").first() or (0, 0)
     shards = max(1, -(-n // shard_rows))
-    rows = rows.where(F.size("vector") == (dim or 0)).select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "vector")
-    return stored(rows.groupBy("shard").applyInArrow(_build(dim or 0), _INDEX), "hnsw")
+    rows = rows.where(F.size("vector") == dim).select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "vector")
+    return stored(rows.groupBy("shard").applyInArrow(_build(dim), _INDEX), "hnsw")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:

@@ -56,6 +56,9 @@ def test_neighbours_of_odd_vectors(spark):
             got.setdefault(r.query_id, []).append((r.score, r.vec_id))
             assert r["rank"] == len(got[r.query_id])
         assert got == expected
+    # One vector of another length, longer ones too, takes no part and leaves the others alone.
+    longer = df.unionByName(spark.createDataFrame([(300, [9.0] * 5, 1, 2.0), (400, [9.0] * 7, 1, 2.0)], df.schema))
+    assert {r.query_id for r in hnsw.search(hnsw.build_index(longer), longer).collect()} == set(expected)
     few = df.where("vec_id < 3")
     found = hnsw.search(hnsw.build_index(few), few).collect()
     assert len(found) == 6
