@@ -36,6 +36,8 @@ BLOCK_BITS, SEGMENT_IDS, CACHED_WORDS, JOINED = 512, 1 << 20, 300_000, 50
 TAILED = "^(?P<body>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[.,;:!?]+)$"
 # Only words of these characters are joined: the library's normalising keeps their places.
 JOINABLE = re.compile("[!-~À-ÿ]+").fullmatch
+# Marks and the later letters of Hangul syllables join the letter before them.
+COMPOSED = r"\p{M}|[\x{1160}-\x{11FF}]"
 HEAD = "<4sIQ"
 MAGIC = b"DAC1"
 
@@ -158,7 +160,9 @@ class WordEncoder:
         parts = pc.extract_regex(words, TAILED)
         body = pc.if_else(parts.is_valid(), pc.struct_field(parts, "body"), words)
         tail = pc.if_else(parts.is_valid(), pc.struct_field(parts, "tail"), "")
-        body = pc.if_else(pc.match_substring(words, "<|"), body, pc.ascii_lower(body)).dictionary_encode()
+        # The library composes before it lowers, so a word whose signs may still be composed goes to it as it is.
+        as_is = pc.or_(pc.match_substring(words, "<|"), pc.match_substring_regex(words, COMPOSED))
+        body = pc.if_else(as_is, body, pc.ascii_lower(body)).dictionary_encode()
         tail = tail.dictionary_encode()
         of = lambda x: self._slots(x.dictionary.to_pylist())[x.indices.to_numpy()]
         return of(body), of(tail)
