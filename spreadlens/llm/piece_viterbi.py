@@ -19,6 +19,7 @@ decoding gives back every other text exactly. Other columns pass through.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -119,19 +120,34 @@ class Pieces:
                     self.left[i], self.right[i] = last
 
     def merged(self, unit: str) -> tuple[list[str], tuple[int, int] | None]:
-        """Pieces of a unit by merging one by one, and the two places of the last merge."""
+        """Pieces of a unit by merging one by one, and the two places of the last merge.
+
+        Pairs wait in a heap by the time they are made and by place, so a long run takes little more than its length.
+        """
         parts, last = list(unit), None
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                at = self.place.get(parts[i] + parts[i + 1])
-                if at is not None and (best is None or self.time[at] < self.time[best[1]]):
-                    best = (i, at)
-            if best is None:
-                return parts, last
-            i = best[0]
-            last = self.place[parts[i]], self.place[parts[i + 1]]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        waiting: list[tuple[int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                at = self.place.get(parts[i] + parts[after[i]])
+                if at is not None:
+                    heapq.heappush(waiting, (int(self.time[at]), i, at))
+
+        for i in range(len(parts)):
+            offer(i)
+        while waiting:
+            _, i, at = heapq.heappop(waiting)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or self.place.get(parts[i] + parts[j]) != at:
+                continue
+            last = self.place[parts[i]], self.place[parts[j]]
+            parts[i], parts[j], after[i] = parts[i] + parts[j], "", after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p], last
 
     def allowed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merging leaves the border between the two pieces (places; -1: no piece) alone."""

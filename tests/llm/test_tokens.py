@@ -1,5 +1,6 @@
 """Words of sliced batches, tokenizers against their libraries, and the file format."""
 
+import time
 import zlib
 
 import numpy as np
@@ -75,8 +76,8 @@ def test_token_files_of_the_table(spark, sf_dir, tmp_path, monkeypatch):
     assert sorted(map(tuple, token_files.read_digests(spark, path).collect())) == expected(pairs)
 
 
-@given(st.text(alphabet=st.sampled_from("aAéÉ ß.,'!<|>\n\tthe ing日é\U0001f600 1x"), max_size=60))
-@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aAéÉ ß.,'!<|>\n\tthe ing日é\U0001f600 1xTWJHY\u0308\u030a\u030c\u0331\u1100\u1161\u11a8İK"), max_size=60))
+@settings(max_examples=250, deadline=None)
 def test_words_alone_give_the_ids_of_the_whole(text):
     encoder = token_files.encoder_of(WORD_BPE)
     codes, _, words = word_codes(pa.array([text]), lower=False)
@@ -104,6 +105,21 @@ def test_pieces_equal_the_library(text):
     assert encoder.pieces.decode(ids) == text.replace("▁", " ")
 
 
+@pytest.mark.parametrize("text", ["T\u0308", "W\u030a x", "J\u030c", "H\u0331.", "Y\u030ab", "a\u0308A\u0308", "\u1112\u1161\u11ab"])
+def test_letters_that_are_composed_first(text):
+    test_words_alone_give_the_ids_of_the_whole.hypothesis.inner_test(text)
+
+
+@pytest.mark.parametrize("n", [2, 3, 17, 1000, 100_000])
+def test_long_runs_of_spaces(library, n):
+    encoder = piece_viterbi.encoder_of(PIECES)
+    texts = ["a" + " " * n + "b", " " * n, "x" + " " * n]
+    begun = time.perf_counter()
+    got = [encoder.encode([t])[0].tolist() for t in texts]
+    assert time.perf_counter() - begun < 10
+    assert got == [library.encode(t) for t in texts]
+
+
 def test_pieces_of_odd_rows_and_of_the_table(spark, sf_dir, odd, nothing, library):
     for docs in (odd, table(spark, sf_dir, "documents")):
         coded = piece_viterbi.encode_pieces(docs, PIECES)
