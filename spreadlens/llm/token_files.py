@@ -114,6 +114,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.slots: dict[str, int] = {}
         self._reset()
 
@@ -126,12 +129,34 @@ class WordEncoder:
         slots = self.slots
         new = [w for w in words if w not in slots]
         if new:
-            coded, sizes = self._encode(new)
-            slots.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
-            self.ids = np.concatenate([self.ids, coded])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            letters, rest = [], []
+            for w in new:
+                (letters if w.isalpha() and JOINABLE(w) else rest).append(w)
+            for own, encode in ((letters, self._encode_letters), (rest, self._encode)):
+                if own:
+                    coded, sizes = encode(own)
+                    slots.update(zip(own, range(len(self.ends) - 1, len(self.ends) - 1 + len(own))))
+                    self.ids = np.concatenate([self.ids, coded])
+                    self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
 
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: such a word ends where a piece ends a word, so no offsets are needed."""
+        coded, sizes = [], []
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            groups = [" ".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)]
+            lists = [e.ids for e in self.tokenizer.encode_batch(groups, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                ids, own = self._encode(part)
+            else:
+                own = np.diff(ends, prepend=0)
+            coded.append(ids)
+            sizes.append(own)
+        return np.concatenate(coded), np.concatenate(sizes)
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of each). Simple words are encoded some dozens at a time, joined by spaces."""
         plain = [w for w in words if JOINABLE(w)]
