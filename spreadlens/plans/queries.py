@@ -13,7 +13,7 @@ from spreadlens.functions.verdict import verdict
 from spreadlens.operators import baselines, dialogue, drafting, explaining, features, forecast, learn, media, publishing, reports
 from spreadlens.operators import sampling, similarity, snapshots, templates
 from spreadlens.session import scratch_path, stored
-from spreadlens.sources import readers, views
+from spreadlens.sources import catalogue, readers, views
 from spreadlens.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +75,11 @@ def originals(spark, d):
 
 @query
 def scan_hour_range(spark, d):
-    indexed = readers.with_file_index(views.raw_posts(spark, d), START)
-    df = readers.scan_posts(readers.scan_hour_range(indexed, 10, 40), lang=None)
-    return df.select("id", "file_index", at("version").alias("version"))
+    """Reads the folders of the chosen hours only."""
+    path = scratch_path(spark, "layer")
+    readers.materialise_new_hours(readers.with_file_index(views.raw_posts(spark, d), START), path)
+    df = readers.scan_posts(readers.scan_hour_range(spark.read.parquet(path), 10, 40), lang=None)
+    return df.select("id", F.col("file_index").cast("bigint").alias("file_index"), at("version").alias("version"))
 
 
 @query
@@ -98,6 +100,31 @@ def scan_with_fallback(spark, d):
     return df.withColumn("created_at", at("created_at"))
 
 
+def _named(spark: SparkSession, d: str) -> catalogue.Catalogue:
+    """A folder that has the posts' hours and the accounts; videos come from their fallback."""
+    return catalogue.Catalogue(spark, scratch_path(spark, "named"), {catalogue.VIDEOS: lambda s: views.videos(s, d)})
+
+
+@query
+def scan_named_posts(spark, d):
+    source = _named(spark, d)
+    readers.materialise_new_hours(readers.with_file_index(views.raw_posts(spark, d), START), source.path(catalogue.POSTS))
+    df = source.posts(lang="en")
+    return df.withColumns({"created_at": at("created_at"), "version": at("version")})
+
+
+@query
+def scan_named_accounts(spark, d):
+    source = _named(spark, d)
+    readers.copy_once(views.accounts(spark, d), source.path(catalogue.ACCOUNTS))
+    return source.accounts(HANDLES).withColumn("created_at", at("created_at"))
+
+
+@query
+def scan_named_videos(spark, d):
+    return _named(spark, d).videos().withColumn("created_at", at("created_at"))
+
+
 @query
 def own_originals(spark, d):
     return drafting.own_originals(views.accounts(spark, d)).select("tweet_id", "author_handle", "text", "like_count")

@@ -54,3 +54,7 @@ def test_a_document_that_most_posts_share(spark):
     keyed = templates.keyed_posts(posts)
     assert keyed.count() == 2000
     assert keyed.groupBy("key").count().agg({"count": "max"}).first()[0] == 1200
+
+
+def test_hours_are_pruned_by_folder(spark, sf_dir):
+    assert "PartitionFilters: [isnotnull(file_index" in plan(QUERIES["scan_hour_range"](spark, sf_dir))
