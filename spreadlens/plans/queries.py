@@ -845,3 +845,50 @@ def stream_load(spark, d):
     source = readers.with_file_index(_post_files(spark, d, views.posts(spark, d)), START)
     streams.finish(streams.load_hours(source, f"{out}/hours", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/hours").groupBy(F.col("file_index").cast("bigint").alias("file_index")).agg(F.count(F.lit(1)).alias("posts"))
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """All rows of a stream that ends, written as Parquet."""
+    out = scratch_path(stream.sparkSession, name)
+    sink = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+    streams.finish(sink.trigger(availableNow=True).start())
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query
+def stream_poll(spark, d):
+    """Rounds of a poller, one folder for each month of reads, as a source that can be read again."""
+    reads = views.snapshots(spark, d).select("id", "created_at", "version", F.col("views_count").alias("likes"))
+    path = scratch_path(spark, "rounds")
+    rounds = (F.year("version") * 12 + F.month("version")).cast("bigint")
+    readers.materialise_new_hours(reads.withColumn("file_index", rounds), path)
+    polled = catalogue.stream_hours(spark, path, reads.schema)
+    return _drained(streams.poll_stream(polled, 3, lifetime="100 days", delay="31 days"), "stream-poll")
+
+
+@query
+def stream_admit(spark, d):
+    """The posts of `publish_queue`, one batch after another, with a ledger for each author."""
+    text = F.expr("left(body, cast(cast(id as bigint) % 400 as int))")
+    queue = snapshots.latest(views.posts(spark, d)).select("id", "author_id", "created_at", text.alias("text"))
+    path = scratch_path(spark, "queue")
+    queue.write.parquet(path)
+    return _drained(streams.admit_stream(streams.file_stream(spark, queue.schema, path, 10000), 500), "stream-admit")
+
+
+@query
+def stream_route(spark, d):
+    turns = _user_turns(spark, d)
+    path = scratch_path(spark, "turns")
+    turns.write.parquet(path)
+    return _drained(streams.route_stream(streams.file_stream(spark, turns.schema, path, 10000)), "stream-route")
+
+
+@query
+def stream_fresh_curve(spark, d):
+    """Hours the watermark has closed: those that end an hour before the newest event."""
+    events = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("actor"), F.col("ts").alias("created_at"))
+    path = scratch_path(spark, "event-files")
+    events.write.parquet(path)
+    curve = _drained(streams.fresh_curve(streams.file_stream(spark, events.schema, path, 10000)), "stream-fresh")
+    return curve.select("key", at("hour").alias("hour"), "authors")
