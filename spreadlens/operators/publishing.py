@@ -76,9 +76,10 @@ def _admitted(posts: DataFrame, budget: int) -> DataFrame:
             F.when(fits & (post["cost"] == COST_WITH_LINK), here).otherwise(state["linked"]).alias("linked"),
         )
 
-    last = first.groupBy("author_id").agg(F.aggregate(entries, start, admit).alias("last"))
+    # Posts without an author are one queue, as they are in a stream.
+    last = first.groupBy(F.col("author_id").alias("_author")).agg(F.aggregate(entries, start, admit).alias("last"))
     here = F.struct(F.col("created_at"), F.col("id"))
     limit = F.when(F.col("cost") == COST_PLAIN, F.col("last.plain")).otherwise(F.col("last.linked"))
-    return priced.join(last, "author_id").select(
+    return priced.join(last, F.col("author_id").eqNullSafe(F.col("_author"))).select(
         "id", "author_id", "created_at", "cost", F.coalesce(here <= limit, F.lit(False)).alias("admitted")
     )
