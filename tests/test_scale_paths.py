@@ -134,6 +134,27 @@ def test_vectors_are_copied_once_for_each_block(spark):
     assert "Exchange" not in text
 
 
+@pytest.mark.parametrize("scale", [1, 100, 10**6])
+def test_pairs_are_met_without_a_shuffle(spark, scale):
+    """Blocks are read again instead of copied; components of any kind of number hold from one link per vector and task."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-100, 100, (12, 16))
+    rows = [(i, [float(x) for x in (base[i % 12] + rng.integers(-9, 9, 16)) * scale]) for i in range(120)]
+    vectors = similarity.pack_arrays(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v")
+    matrix = np.array([r[1] for r in rows], np.float32).astype(float)
+    lengths = np.sqrt((matrix**2).sum(axis=1))
+    sims = np.round(matrix @ matrix.T / np.sqrt(np.outer(lengths**2, lengths**2)), 6)
+    expected = {(i, j) for i in range(120) for j in range(i + 1, 120) if sims[i, j] >= 0.98}
+    pairs = similarity.linked_pairs(vectors, "id", 0.98, block_rows=16)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = pairs.collect()
+    assert {(r.a, r.b) for r in found} == expected and len(found) == len(expected) > 100
+    assert all(r.similarity == sims[r.a, r.b] for r in found)
+    one_task = similarity.linked_pairs(vectors.coalesce(1), "id", 0.98, forest=True, block_rows=16)
+    members = lambda p: sorted(map(tuple, similarity.fold_members(p).collect()))
+    assert members(one_task) == members(spark.createDataFrame(sorted(expected), "a bigint, b bigint"))
+
+
 def test_codes_in_python_equal_those_of_the_jvm(spark):
     from pyspark.sql import functions as F
 
