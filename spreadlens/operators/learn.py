@@ -49,8 +49,11 @@ def compare_forecast(points: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def poll_points(reads: DataFrame, max_reads: int = MAX_READS) -> DataFrame:
-    """(id, minutes, likes): the first `max_reads` reads of each post, minutes rounded to two decimals."""
-    order = Window.partitionBy("id").orderBy("version", "likes")
+    """(id, read, minutes, likes): the first `max_reads` reads of each post, minutes rounded to two decimals.
+
+    Reads with equal versions and likes are numbered by their publication time, so that reruns agree.
+    """
+    order = Window.partitionBy("id").orderBy("version", "likes", "created_at")
     kept = reads.withColumn("read", F.row_number().over(order)).where(F.col("read") <= max_reads)
     elapsed = (F.unix_timestamp("version") - F.unix_timestamp("created_at")) / 60.0
     return kept.select("id", "read", F.round(elapsed, 2).alias("minutes"), "likes")

@@ -210,3 +210,17 @@ def test_own_embedder(spark):
     own = spark.createDataFrame([("a", 1, "axe"), ("a", 2, "bond")], "author string, id bigint, text string")
     intents = spark.createDataFrame([("a", "i", "berry")], "author string, intent_id string, intent string")
     assert [r.id for r in drafting.retrieve_exemplars(own, intents, 1, embed=first_letter).collect()] == [2]
+
+
+def test_equal_reads_are_numbered_by_publication(spark):
+    """Reads that tie on version and likes: the window holds the one within it, whatever order the rows come in."""
+    from spreadlens.operators import learn
+
+    rows = [("p", f"2024-01-{d:02d} 00:00:00", "2024-01-09 00:00:00", 5) for d in (8, 1, 7, 2, 6, 3)]
+    for order in (rows, rows[::-1]):
+        reads = spark.createDataFrame(order, "id string, c string, v string, likes long").selectExpr(
+            "id", "cast(c as timestamp) as created_at", "cast(v as timestamp) as version", "likes"
+        )
+        points = learn.poll_points(reads.coalesce(1), 2)
+        assert sorted((r.read, r.minutes) for r in points.collect()) == [(1, 8 * 1440.0), (2, 7 * 1440.0)]
+        assert [(r.read, r.minutes) for r in learn.poll_window(points, 3 * 1440.0).collect()] == [(2, 7 * 1440.0)]
