@@ -224,3 +224,32 @@ def test_equal_reads_are_numbered_by_publication(spark):
         points = learn.poll_points(reads.coalesce(1), 2)
         assert sorted((r.read, r.minutes) for r in points.collect()) == [(1, 8 * 1440.0), (2, 7 * 1440.0)]
         assert [(r.read, r.minutes) for r in learn.poll_window(points, 3 * 1440.0).collect()] == [(2, 7 * 1440.0)]
+
+
+def test_final_posts_are_the_latest_posts(spark, tmp_path):
+    """Last observations are told without their texts: repeated documents and events, missing texts and reposts."""
+    from spreadlens.operators import snapshots
+    from spreadlens.sources import views
+
+    texts = ["RT @u: said before", "RT", None, "", "see http://x.y now", "plain", "plain", "\U0001f600\U0001f600\U0001f600\U0001f600 four signs"]
+    docs = [(k % 7, "de" if k % 2 else None, x) for k, x in enumerate(texts)]
+    spark.createDataFrame(docs[:7] + docs[5:6], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ("click", "view", "signup", "error", "purchase", None)
+    events = [(k, k % 9, kinds[k % 6], f"2024-01-01 {k % 24:02d}:00:00" if k % 31 else None, float(k)) for k in range(10**18, 10**18 + 300)]
+    frame = spark.createDataFrame(events + events[:20], "event_id long, user_id long, event_type string, ts string, value double")
+    frame.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    final = views.final_posts(spark, str(tmp_path))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    expected = rows(snapshots.latest(views.posts(spark, str(tmp_path))))
+    assert rows(final) == expected and len(expected) > 50
+    ranked = [line for line in final._jdf.queryExecution().optimizedPlan().toString().splitlines() if "WindowGroupLimit" in line or "Window [" in line]
+    assert ranked and "body" not in "".join(ranked) and "text" not in "".join(ranked)
+
+
+def test_medians_move_no_text(spark):
+    """What a caller drops after the medians isn't read for them."""
+    df = spark.createDataFrame([(str(k), "a", k, "x" * 50) for k in range(5)], "id string, author_id string, like_count long, body string")
+    got = baselines.leave_one_out_medians(df).select("id", "loo_median")
+    hashed = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "xxhash64" in line]
+    assert hashed and "body" not in "".join(hashed)
+    assert got.count() == 5
