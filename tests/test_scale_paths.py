@@ -253,3 +253,14 @@ def test_medians_move_no_text(spark):
     hashed = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "xxhash64" in line]
     assert hashed and "body" not in "".join(hashed)
     assert got.count() == 5
+
+
+def test_copies_of_a_body_are_dropped_before_they_are_grouped(spark):
+    from spreadlens.operators import templates
+
+    bodies = [None, "", "a", "b\u00fc", "a"] * 400
+    posts = spark.createDataFrame([(b,) for b in bodies], "body string").coalesce(1)
+    found = templates.distinct_bodies(posts)
+    assert sorted(r.body for r in found.collect()) == ["", "a", "b\u00fc"]
+    assert "drop_copies" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.raw for r in found.collect()} == {r.raw for r in posts.selectExpr("md5(coalesce(body, '')) as raw").distinct().collect()}
