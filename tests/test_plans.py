@@ -58,3 +58,8 @@ def test_a_document_that_most_posts_share(spark):
 
 def test_hours_are_pruned_by_folder(spark, sf_dir):
     assert "PartitionFilters: [isnotnull(file_index" in plan(QUERIES["scan_hour_range"](spark, sf_dir))
+
+
+def test_timed_characters_are_made_once(spark, sf_dir):
+    """No filter on the array, which would be moved below it and make it a second time."""
+    assert QUERIES["chars_to_words"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("filter(split(text") == 1
