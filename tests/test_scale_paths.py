@@ -264,3 +264,28 @@ def test_copies_of_a_body_are_dropped_before_they_are_grouped(spark):
     assert sorted(r.body for r in found.collect()) == ["", "a", "b\u00fc"]
     assert "drop_copies" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.raw for r in found.collect()} == {r.raw for r in posts.selectExpr("md5(coalesce(body, '')) as raw").distinct().collect()}
+
+
+@pytest.mark.parametrize("block_rows", [16, 4096])
+@pytest.mark.parametrize("kind", ["mixed", "copies"])
+def test_nearest_equals_brute_force_without_a_shuffle_of_vectors(spark, block_rows, kind):
+    """Tops carried over blocks, with zero vectors, tiny and huge ones, and many equal ones whose ties go by id."""
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((150, 8)).astype("<f4")
+    rows[40:60] = rows[3]
+    rows[70] = 0
+    rows[80] *= np.float32(1e-18)
+    rows[81] *= np.float32(1e18)
+    if kind == "copies":
+        rows[20:] = rows[3]
+    ids = [int(i) for i in rng.permutation(150)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, rows)], "id bigint, v array<float>").repartition(3)
+    vectors = similarity.pack_arrays(df, "id", "v")
+    found = similarity.nearest(vectors, vectors, 4, block_rows=block_rows)
+    before_the_merge = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1]
+    assert "CartesianProduct" in before_the_merge and "Exchange" not in before_the_merge
+    lengths = np.linalg.norm(rows.astype(float), axis=1)
+    products = np.outer(lengths, lengths)
+    sims = np.round(np.divide(rows.astype(float) @ rows.astype(float).T, products, out=np.zeros((150, 150)), where=products > 0), 6)
+    expected = {(ids[a], p + 1, ids[b]) for a in range(150) for p, b in enumerate(sorted(range(150), key=lambda b: (-sims[a, b], ids[b]))[:4])}
+    assert {(r.query_id, r.position, r.item_id) for r in found.collect()} == expected
