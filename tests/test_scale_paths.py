@@ -289,3 +289,21 @@ def test_nearest_equals_brute_force_without_a_shuffle_of_vectors(spark, block_ro
     sims = np.round(np.divide(rows.astype(float) @ rows.astype(float).T, products, out=np.zeros((150, 150)), where=products > 0), 6)
     expected = {(ids[a], p + 1, ids[b]) for a in range(150) for p, b in enumerate(sorted(range(150), key=lambda b: (-sims[a, b], ids[b]))[:4])}
     assert {(r.query_id, r.position, r.item_id) for r in found.collect()} == expected
+
+
+def test_each_distinct_gram_is_hashed_once(monkeypatch):
+    """Of a thousand words that share all their grams but a few, and the numbers are those of each word by itself."""
+    import hashlib
+
+    from spreadlens.functions import grams
+
+    words = [f"vor{k % 10}zug{k // 10 % 10}ende{k // 100}\U0001f600" for k in range(1000)] + ["", "ÿ"]
+    asked = []
+    monkeypatch.setattr(grams, "_md5_number", lambda gram: asked.append(gram) or int(hashlib.md5(gram.encode()).hexdigest()[:8], 16))
+    codes, ends = grams.hashed_grams(words, 64, (3, 5))
+    assert len(asked) == len(set(asked)) < 1000
+    for word, a, b in zip(words, ends[:-1], ends[1:]):
+        padded = f" {word} "
+        own = [padded[i : i + n] for n in range(3, min(5, max(3, len(padded))) + 1) for i in range(max(len(padded) - n + 1, 1))]
+        numbers = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in own]
+        assert codes[a:b].tolist() == [v % 64 * 2 + v // 64 % 2 for v in numbers]
