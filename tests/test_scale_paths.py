@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadlens.operators import baselines, ranks, sampling, similarity
+from spreadlens.session import scratch_path
+from spreadlens.sources import views
+from spreadlens.sources.readers import path_exists
 
 WORDS = "town hall thursday health care vote farm bill remember joined party night final score match".split()
 
@@ -307,3 +310,18 @@ def test_each_distinct_gram_is_hashed_once(monkeypatch):
         own = [padded[i : i + n] for n in range(3, min(5, max(3, len(padded))) + 1) for i in range(max(len(padded) - n + 1, 1))]
         numbers = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in own]
         assert codes[a:b].tolist() == [v % 64 * 2 + v // 64 % 2 for v in numbers]
+
+
+@pytest.mark.parametrize("name", ["stream_latest"])
+def test_texts_are_kept_out_of_written_observations(spark, sf_dir, monkeypatch, name):
+    """What is copied, shuffled and written for each observation holds no text, and the posts made of it are the same."""
+    from spreadlens.plans import queries
+
+    paths = []
+    monkeypatch.setattr(queries, "scratch_path", lambda s, kind: paths.append(scratch_path(s, kind)) or paths[-1])
+    queries.QUERIES[name](spark, sf_dir).count()
+    written = [p for path in paths for p in (path, f"{path}/log") if path_exists(spark, f"{p}/_SUCCESS") or path_exists(spark, f"{path}/log") and p != path]
+    assert written and all(not {"body", "text"} & set(spark.read.parquet(p).columns) for p in written)
+    narrow = views.with_bodies(views.narrow_posts(spark, sf_dir), views.post_texts(spark, sf_dir))
+    posts = views.posts(spark, sf_dir)
+    assert narrow.columns == posts.columns and narrow.exceptAll(posts).isEmpty() and posts.exceptAll(narrow).isEmpty()
