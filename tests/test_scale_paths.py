@@ -312,7 +312,7 @@ def test_each_distinct_gram_is_hashed_once(monkeypatch):
         assert codes[a:b].tolist() == [v % 64 * 2 + v // 64 % 2 for v in numbers]
 
 
-@pytest.mark.parametrize("name", ["stream_latest"])
+@pytest.mark.parametrize("name", ["stream_latest", "materialise_incremental"])
 def test_texts_are_kept_out_of_written_observations(spark, sf_dir, monkeypatch, name):
     """What is copied, shuffled and written for each observation holds no text, and the posts made of it are the same."""
     from spreadlens.plans import queries
