@@ -320,8 +320,26 @@ def test_texts_are_kept_out_of_written_observations(spark, sf_dir, monkeypatch,
     paths = []
     monkeypatch.setattr(queries, "scratch_path", lambda s, kind: paths.append(scratch_path(s, kind)) or paths[-1])
     queries.QUERIES[name](spark, sf_dir).count()
-    written = [p for path in paths for p in (path, f"{path}/log") if path_exists(spark, f"{p}/_SUCCESS") or path_exists(spark, f"{path}/log") and p != path]
+    written = [p for path in paths for p in (path, f"{path}/log") if path_exists(spark, f"{p}/*.parquet") or path_exists(spark, f"{p}/*=*")]
     assert written and all(not {"body", "text"} & set(spark.read.parquet(p).columns) for p in written)
     narrow = views.with_bodies(views.narrow_posts(spark, sf_dir), views.post_texts(spark, sf_dir))
     posts = views.posts(spark, sf_dir)
     assert narrow.columns == posts.columns and narrow.exceptAll(posts).isEmpty() and posts.exceptAll(narrow).isEmpty()
+
+
+def test_a_rerun_leaves_the_hours_alone(spark):
+    """Only the hours that are missing are written; those that lie there keep their files."""
+    import glob
+
+    from spreadlens.sources import readers
+
+    posts = spark.range(300).selectExpr("cast(id as string) as id", "id % 6 as file_index")
+    path = scratch_path(spark, "rerun")
+    readers.materialise_new_hours(posts.where("file_index < 4"), path)
+    before = set(glob.glob(f"{path}/file_index=*/*.parquet"))
+    readers.materialise_new_hours(posts, path)
+    after = set(glob.glob(f"{path}/file_index=*/*.parquet"))
+    assert before < after and {f.split("file_index=")[1][0] for f in after - before} == {"4", "5"}
+    readers.materialise_new_hours(posts, path)
+    assert set(glob.glob(f"{path}/file_index=*/*.parquet")) == after
+    assert spark.read.parquet(path).count() == 300
