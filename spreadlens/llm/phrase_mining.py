@@ -44,7 +44,7 @@ LEAST_BITS, MOST_BITS, BYTES_PER_BIT = 20, 30, 24
 BYTES_PER_TASK = 256 << 20
 MOST_STATES = 1 << 20
 PIECE_STATES = 1 << 14
-HELD_KEYS, HELD_PHRASES = 1 << 20, 1 << 19
+HELD_KEYS, HELD_PHRASES, TOLD_KEYS = 1 << 20, 1 << 17, 1 << 21
 PIECES = 10
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -284,21 +284,22 @@ def _bits(rows: DataFrame, bits: list[np.ndarray], n_bits: int, least: int) -> n
 
 
 def _candidates(bits):
-    """Rows (lang, codes) to rows (lang, piece, phrases): distinct candidates, `longest` codes each, dealt by a hash to 2^PIECES pieces."""
+    """Rows (lang, codes) to rows (lang, piece, phrases): candidates, `longest` codes each, dealt by a hash to 2^PIECES pieces.
+
+    A task reports a phrase when it first meets it and keeps no more than its key; beyond TOLD_KEYS it may report phrases again.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = len(bits.value)
-        own: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        told: dict[str, np.ndarray] = {}
         held: dict[str, list] = {}
         n = 0
 
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            parts = held.pop(lang, []) + ([own[lang]] if lang in own else [])
-            keys, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-            return keys, np.concatenate([p[1] for p in parts])[first]
-
-        def dealt(lang: str, keys: np.ndarray, phrases: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for batch in _packed((keys >> U64(64 - PIECES)).astype(np.int64), [phrases], ["phrases"]):
+        def dealt(lang: str) -> Iterator[pa.RecordBatch]:
+            keys, phrases = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            keys, first = np.unique(keys, return_index=True)
+            told[lang] = np.sort(np.concatenate([told[lang], keys])) if lang in told else keys
+            for batch in _packed((keys >> U64(64 - PIECES)).astype(np.int64), [phrases[first]], ["phrases"]):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(batch), pa.string()), *batch.columns], names=["lang", *batch.schema.names])
 
         for lang, codes in _language_streams(batches, longest + 1):
@@ -307,6 +308,11 @@ def _candidates(bits):
                     continue
                 # A key tells phrases of different lengths apart, as it is mixed once more for each word.
                 keys, first = np.unique(keys, return_index=True)
+                if lang in told:
+                    fresh = told[lang].take(np.searchsorted(told[lang], keys), mode="clip") != keys
+                    keys, first = keys[fresh], first[fresh]
+                if not len(keys):
+                    continue
                 phrases = np.zeros((len(keys), longest), U64)
                 for j in range(k):
                     phrases[:, j] = codes[at[first] + j]
@@ -314,13 +320,12 @@ def _candidates(bits):
                 n += len(keys)
             if n >= HELD_PHRASES:
                 for each in list(held):
-                    own[each] = merged(each)
+                    yield from dealt(each)
                 n = 0
-                if sum(len(x[0]) for x in own.values()) >= HELD_PHRASES:
-                    for each in list(own):
-                        yield from dealt(each, *own.pop(each))
-        for lang in {*own, *held}:
-            yield from dealt(lang, *merged(lang))
+                if sum(map(len, told.values())) >= TOLD_KEYS:
+                    told.clear()
+        for each in list(held):
+            yield from dealt(each)
 
     return collect
 

@@ -115,3 +115,19 @@ def test_double_array_holds_exactly_its_phrases():
         for _ in range(500):
             p = tuple(rng.integers(1, symbols + 1, rng.integers(1, 6)).tolist())
             assert (walk(p) is not None) == (p in closed or (len(p) == 1 and p[0] in firsts))
+
+
+@pytest.mark.parametrize("told_keys, most", [(1 << 21, 1), (100, 40)])
+def test_a_task_reports_a_candidate_once_and_none_is_lost(monkeypatch, told_keys, most):
+    monkeypatch.setattr(pm, "HELD_PHRASES", 64)
+    monkeypatch.setattr(pm, "TOLD_KEYS", told_keys, raising=False)
+    rng = np.random.default_rng(1)
+    rows = [np.append(rng.integers(1, 8, 60), 0) for _ in range(20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([row, row])], names=["lang", "codes"]) for row in rows * 2]
+    bits = SimpleNamespace(value=[np.full(1 << 10, 255, np.uint8)] * 3)
+    got = Counter()
+    for batch in pm._candidates(bits)(iter(batches)):
+        for lang, phrases in zip(batch.column("lang").to_pylist(), batch.column("phrases").to_pylist(), strict=True):
+            got.update((lang, *map(int, p)) for p in np.frombuffer(phrases, np.uint64).reshape(-1, 3))
+    want = {(lang, *row[i : i + k].tolist(), *[0] * (3 - k)) for lang in ("en", "de") for row in rows for k in (1, 2, 3) for i in range(61 - k)}
+    assert set(got) == want and max(got.values()) <= most
