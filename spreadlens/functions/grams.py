@@ -35,6 +35,11 @@ def _checked(dim: int, ngram: tuple[int, int]) -> tuple[int, int]:
     return low, high
 
 
+def check_grams(dim: int, ngram: tuple[int, int], hash_name: str) -> None:
+    _checked(dim, ngram)
+    _hash32(F.lit(""), hash_name)
+
+
 def _grams(word: Column, low: int, high: int) -> Column:
     padded = F.concat(F.lit(" "), word, F.lit(" "))
     size = F.length(padded)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from spreadlens.functions.grams import DIM, NGRAM, hashed_grams, word_codes
+from spreadlens.functions.grams import DIM, NGRAM, check_grams, hashed_grams
 from spreadlens.functions.text import words
 from spreadlens.operators.graph import components
 from spreadlens.schemas import require_columns
@@ -27,6 +27,8 @@ from spreadlens.session import spread, stored
 
 # Rows of one side of a block product: 4,096 vectors of 512 dims are 8 MB packed.
 BLOCK_ROWS = 4096
+# Rows embedded at once.
+EMBEDDED_ROWS = 2048
 # More than a cosine in single precision, and its rounding to six digits, can be off.
 SINGLE_ERROR = 1e-4
 # Pairs that are told exactly at once, and the share of a strip's pairs from which all are.
@@ -37,18 +39,48 @@ PAIRS_AT_ONCE, DENSE_SHARE = 1 << 13, 0.05
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, ngram: tuple[int, int] = NGRAM, hash_name: str = "md5") -> DataFrame:
-    """Long sparse form (id, dim, w) of unit vectors, with built-in functions only; a zero vector has no rows.
+    """Long sparse form (id, dim, w) of unit vectors; a zero vector has no rows, and rows of one id are one text.
 
-    Rows are placed by id first, so the aggregations below reuse that one shuffle of the texts; the grams of a word that a
-    text repeats are hashed once.
+    Texts are placed and sorted by id, and a task adds up the grams of the rows of one id as they pass: grams are neither
+    shuffled nor sorted, and what a task holds is a few rows.
     """
-    placed = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    counted = placed.select("id", F.explode(words(F.lower("text"))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("times"))
-    codes = counted.select("id", "times", F.explode(word_codes(F.col("word"), dim, ngram, hash_name)).alias("code"))
-    signed = F.when(F.col("code") % 2 == 0, F.col("times")).otherwise(-F.col("times"))
-    summed = codes.groupBy("id", F.floor(F.col("code") / 2).cast("int").alias("dim")).agg(F.sum(signed).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    return summed.where("v <> 0").select("id", "dim", (F.col("v") / norm).alias("w"))
+    check_grams(dim, ngram, hash_name)
+    placed = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").sortWithinPartitions("id")
+    coded = placed.select("id", words(F.lower(F.coalesce("text", F.lit("")))).alias("_words"))
+
+    def told(ids: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+        norms = np.sqrt((sums * sums).sum(axis=1))
+        row, at = np.nonzero(sums)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(sums[row, at] / norms[row])], ["id", "dim", "w"])
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, EMBEDDED_ROWS):
+                rows = batch.slice(k, EMBEDDED_ROWS)
+                ids, sums = rows.column("id"), _packed_sums(rows.column("_words"), dim, ngram, hash_name).astype(np.int64)
+                if held is not None:
+                    # The last id may go on in the next rows.
+                    ids, sums = pa.concat_arrays([held[0], ids]), np.concatenate([held[1], sums])
+                ids, sums = _sums_by_id(ids, sums)
+                held = ids.slice(len(ids) - 1), sums[-1:]
+                if len(ids) > 1:
+                    yield told(ids.slice(0, len(ids) - 1), sums[:-1])
+        if held is not None:
+            yield told(*held)
+
+    fields = [coded.schema["id"], T.StructField("dim", T.IntegerType()), T.StructField("w", T.DoubleType())]
+    return coded.mapInArrow(units, T.StructType(fields))
+
+
+def _sums_by_id(ids: pa.Array, sums: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct ids in the order they come first, NULL one of them, and the sums of their rows."""
+    coded = ids.dictionary_encode(null_encoding="encode")
+    if len(coded.dictionary) == len(ids):
+        return ids, sums
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    return coded.dictionary, np.add.reduceat(sums[order], np.flatnonzero(np.diff(code[order], prepend=-1)))
 
 
 def _packed_sums(texts: pa.ListArray, dim: int, ngram: tuple[int, int], hash_name: str) -> np.ndarray:

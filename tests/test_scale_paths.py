@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spreadlens.functions import grams
 from spreadlens.operators import baselines, ranks, sampling, similarity
 from spreadlens.session import scratch_path
 from spreadlens.sources import views
@@ -343,3 +344,27 @@ def test_a_rerun_leaves_the_hours_alone(spark):
     readers.materialise_new_hours(posts, path)
     assert set(glob.glob(f"{path}/file_index=*/*.parquet")) == after
     assert spark.read.parquet(path).count() == 300
+
+
+def test_long_embedding_adds_rows_of_one_id_as_they_pass(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "EMBEDDED_ROWS", 3)
+    rows = [(1, "vote today"), (1, None), (1, "vote for us all"), (None, "a"), (None, "bb cc"), (2, ""), (3, None)] + [(9, "again")] * 8
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    embedded = similarity.hash_embed(df, "id", "text")
+    # No gram is shuffled or aggregated: one exchange, of texts.
+    plan = embedded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    whole = spark.createDataFrame([(1, "vote today vote for us all"), (None, "a bb cc"), (9, " again" * 8)], "id bigint, text string")
+    want = {}
+    for r in whole.select("id", F.explode(grams.gram_codes(F.col("text"))).alias("code")).collect():
+        own = want.setdefault(r.id, {})
+        own[r.code // 2] = own.get(r.code // 2, 0) + (1 - 2 * (r.code % 2))
+    got = {}
+    for r in embedded.collect():
+        got.setdefault(r.id, {})[r.dim] = r.w
+    for own in want.values():
+        norm = sum(v * v for v in own.values()) ** 0.5
+        for k in [k for k, v in own.items() if not v]:
+            del own[k]
+        own.update({k: v / norm for k, v in own.items()})
+    assert got == want
