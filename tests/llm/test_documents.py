@@ -1,10 +1,13 @@
 """Operators on documents, held against plain computations on odd rows, empty tables and clashing columns."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_rows import rows
 
@@ -244,3 +247,46 @@ def test_crowded_regions_compare_all_pairs(spark):
     wanted = {(i, i + n // 2) for i in range(n // 2)}
     for region_rows in (8, 50, 1000):
         assert {tuple(r) for r in minhash_forest.candidate_links(classes, 80, region_rows).collect()} == wanted
+
+
+def test_suffix_tree_holds_bounded_batches(monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "BATCH_BYTES", 100, raising=False)
+    texts = ["a" * 60, None, "b" * 60, "", "c" * 500, "d"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(18)), pa.array(texts)], names=["doc_id", "text"])
+    slices = [b.column(1).to_pylist() for b in suffix_tree_lm._texts(iter([batch]))]
+    assert sum(slices, []) == texts
+    assert all(sum(len(t or "") for t in own[:-1]) <= 100 for own in slices)
+
+
+def test_suffix_tree_asks_without_copies_of_all_keys():
+    rng = np.random.default_rng(2)
+    n, parts = 200_000, 8
+    hashes = rng.integers(0, 2**63, 5000).astype(np.uint64)[rng.integers(0, 5000, n)]
+    place, doc = np.arange(n) % 100, np.arange(n) // 100
+    every = np.full(1 << 10, 255, np.uint8)
+    tracemalloc.start()
+    asked, told = 0, Counter()
+    for part, distinct, keys, rest in suffix_tree_lm._asks(every, 2, parts, hashes, place, doc):
+        keys, times = np.frombuffer(keys, np.uint64), np.frombuffer(rest[: 4 * distinct], np.uint32)
+        owners = np.frombuffer(rest[4 * distinct :], np.uint16)
+        assert (np.diff(keys.astype(object)) > 0).all() and set(suffix_tree_lm._part(keys, parts).tolist()) == {part} and times.sum() == len(owners)
+        told.update(owners.tolist())
+        asked += len(owners)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Every token asks for its context and itself at both depths, where its text has as many words before it.
+    assert asked == 2 * ((place >= 1).sum() + (place >= 2).sum()) and set(told.values()) == {2 * (99 + 98)}
+    assert peak < 40 * asked, peak / asked
+
+
+def test_suffix_tree_exchanges_no_phrase_that_stands_once(spark):
+    single = [(" ".join(f"w{k}x{j}" for j in range(40)),) for k in range(20)]
+    df = spark.createDataFrame([*single, ("one two three four",), ("Two three four five",), (None,)], "text string").repartition(3)
+    bits = []
+    for k in (1, 2):
+        bits.append(suffix_tree_lm._gram_bits(df, k, list(bits), 20))
+        sent = spark.sparkContext.broadcast(list(bits))
+        schema = ", ".join(f"h{j} long" for j in range(k + 1)) + ", n long"
+        rows = df.mapInArrow(suffix_tree_lm._gram_counts(k, sent), schema).groupBy(*(f"h{j}" for j in range(k + 1))).sum("n").collect()
+        # "two three" and "three four", then "two three four"; a collision could keep a few more, of 20 bits hardly any.
+        assert sum(r["sum(n)"] == 2 for r in rows) == 3 - k and len(rows) <= 6
