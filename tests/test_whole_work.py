@@ -39,3 +39,30 @@ def test_marked_posts_are_keyed_posts(spark):
     told = lambda df: sorted(map(repr, df.select("id", "raw", "key", "chars", "n").collect()))
     assert told(templates.keyed_marked(marked, ("n",))) == told(templates.keyed_posts(posts, ("n",)))
     assert "body" not in marked.columns
+
+
+@pytest.mark.parametrize("name", ["scan_hour_range", "scan_named_posts", "stream_load", "stream_curve"])
+def test_observations_are_written_without_their_texts(spark, sf_dir, monkeypatch, name):
+    from spreadlens.plans import queries
+    from spreadlens.session import scratch_path
+    from spreadlens.sources.readers import path_exists
+
+    paths = []
+    monkeypatch.setattr(queries, "scratch_path", lambda s, kind: paths.append(scratch_path(s, kind)) or paths[-1])
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    folders = [p for path in paths for p in (path, f"{path}/posts", f"{path}/hours") if path_exists(spark, f"{p}/*.parquet") or path_exists(spark, f"{p}/file_index=*")]
+    assert folders
+    for folder in folders:
+        rows = spark.read.parquet(folder)
+        longest = rows.agg(F.max(F.length("body"))).first()[0] if "body" in rows.columns else 0
+        assert "text" not in rows.columns and (longest or 0) <= 4
+
+
+@pytest.mark.parametrize("name", ["named_features", "feature_medians", "feature_matrix", "forecast_inputs"])
+def test_no_body_is_ranked_or_met_by_its_median(spark, sf_dir, name):
+    """Medians, histories and last observations are told without texts: the join with the texts is the last one."""
+    from spreadlens.plans.queries import QUERIES
+
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join " in line]
+    assert len(joins) > 1 and "digest#" in joins[0]
